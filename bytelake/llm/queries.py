@@ -34,6 +34,30 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytelake.llm.decontam import leaks
+
+    return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+#: The masks of decontam, as offsets of the compared tokens.
+OP5_SQL = r"""
+WITH doc AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+item AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+mask(m, span, o) AS (VALUES (0, 8, [1, 2, 4, 5, 7, 8]), (1, 7, [1, 2, 3, 5, 6, 7]), (2, 7, [1, 2, 3, 4, 6, 7])),
+doc_seed AS (SELECT doc_id, m, p, array_to_string(list_transform(o, lambda k: w[p + k]), ' ') AS seed
+             FROM (SELECT *, unnest(range(greatest(len(w) - span + 1, 0))) AS p FROM doc, mask)),
+item_seed AS (SELECT item_id, m, p, array_to_string(list_transform(o, lambda k: w[p + k]), ' ') AS seed
+              FROM (SELECT *, unnest(range(greatest(len(w) - span + 1, 0))) AS p FROM item, mask)),
+place AS (SELECT DISTINCT doc_id, item_id, d.p - i.p AS start FROM doc_seed d JOIN item_seed i USING (m, seed)),
+counted AS (SELECT doc_id, item_id, start, len(item.w) AS n,
+                   list_sum(list_transform(range(1, len(item.w) + 1), lambda k: CASE WHEN start + k >= 1 AND doc.w[start + k] = item.w[k] THEN 1 ELSE 0 END)) AS m
+            FROM place JOIN doc USING (doc_id) JOIN item USING (item_id))
+SELECT doc_id, item_id, max(m)::BIGINT AS n_matched, first(n ORDER BY m DESC, start)::BIGINT AS item_tokens, first(start ORDER BY m DESC, start)::BIGINT AS start
+FROM counted WHERE m >= ceil(0.6 * n) OR m >= 20 GROUP BY doc_id, item_id
+"""
+
+
 OP3_SQL = r"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
@@ -50,8 +74,8 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op3_line_dedup": op3_line_dedup}
+    return {"op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op3_line_dedup": op3_line_dedup, "op5_decontamination": op5_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}

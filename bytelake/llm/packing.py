@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.tokens import WordIds
+from bytelake.llm.tokens import word_ids
 
 WINDOWS = (512, 1024, 2048, 4096)
 
@@ -113,7 +113,7 @@ def pack(
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, packer = WordIds(tokenizer), Packer(windows, buffer_tokens)
+        words, packer = word_ids(tokenizer), Packer(windows, buffer_tokens)
         first = TaskContext.get().partitionId() << 36
         live: dict[int, tuple[int | None, bytes]] = {}
         count, groups, rows, size = 0, {}, [], 0
@@ -149,7 +149,8 @@ def pack(
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 ids = part.column(0).to_pylist()
-                for doc_id, got in zip(ids, words.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for doc_id, text in zip(ids, part.column(1).to_pylist(), strict=True):
+                    got = words.encode(text or "")
                     live[number] = (doc_id, got + end)
                     yield from settle(packer.add(number, len(got) // 4 + 1))
                     number += 1

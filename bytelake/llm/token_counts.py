@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytelake.llm.tokens import spelled
+
 #: The pre-token pattern of the byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -27,40 +31,44 @@ def whole_tokens(tokenizer) -> set[str]:
     return {t for t, e in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True) if len(e.ids) == 1}
 
 
-class Counter:
-    """Numbers of tokens of whole texts. max_kept bounds the cache of merged pre-tokens, which is emptied when full."""
+class Counter(dict):
+    """Pre-token -> number of tokens. max_kept bounds the cache of merged pre-tokens, which is emptied when full, but for the whole tokens.
+
+    Pre-tokens in whole_tokens() are one token; the others are merged by the tokenizer's model.
+    """
 
-    def __init__(self, path: str, max_kept: int = 400_000):
+    def __init__(self, path: str, max_kept: int = 250_000):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_kept = Tokenizer.from_file(path), max_kept
         self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(PATTERN).findall
-        self.foreign = regex.compile("[" + FOREIGN + "]").search
+        self.foreign = re.compile("[" + FOREIGN + "]").search
+        self.merge = self.tokenizer.model.tokenize
         self.whole = whole_tokens(self.tokenizer)
-        self.kept = dict.fromkeys(self.whole, 1)
-
-    def _merge(self, tokens: set[str]) -> None:
-        if len(self.kept) + len(tokens) > self.max_kept:
-            self.kept = dict.fromkeys(self.whole, 1)
-        tokens = list(tokens)
-        for k in range(0, len(tokens), 20_000):
-            part = tokens[k : k + 20_000]
-            self.kept.update((t, len(e.ids)) for t, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-
-    def count(self, texts: list[str]) -> list[int]:
-        """Texts with a special token's string, or with a character that the two pattern engines class differently, go to the library whole."""
-        split = [None if any(s in t for s in self.specials) or self.foreign(t) else self.find(t) for t in texts]
-        known = self.kept.keys()
-        fresh = set().union(*(x for x in split if x is not None)) - known
-        if fresh:
-            size = len(self.kept)
-            self._merge(fresh)
-            if len(self.kept) < size + len(fresh):  # emptied: all of this batch again
-                self._merge(set().union(*(x for x in split if x is not None)) - self.kept.keys())
-        get = self.kept.__getitem__
-        return [len(self.tokenizer.encode(t, add_special_tokens=False).ids) if x is None else sum(map(get, x)) for t, x in zip(texts, split, strict=True)]
+        super().__init__(dict.fromkeys(self.whole, 1))
+
+    def __missing__(self, token: str) -> int:
+        n = len(self.merge(spelled(token)))
+        if len(token) <= 64:
+            if len(self) >= self.max_kept:
+                self.clear()
+                self.update(dict.fromkeys(self.whole, 1))
+            self[token] = n
+        return n
+
+    def count(self, text: str) -> int:
+        """A text with a special token's string, or with a character that the two pattern engines class differently, goes to the library whole."""
+        if any(s in text for s in self.specials) or not text.isascii() and self.foreign(text):
+            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return sum(map(self.__getitem__, self.find(text)))
+
+
+@functools.lru_cache(2)
+def counter(path: str) -> Counter:
+    """One for each Python process."""
+    return Counter(path)
 
 
 #: Ranges of code points that the regex module and the tokenizer's engine class differently (fixed values, found by trying every code point).
@@ -85,11 +93,11 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
+        count = counter(tokenizer).count
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 rows = batch.slice(k, 512)
-                n = counter.count([t or "" for t in rows.column(1).to_pylist()])
+                n = [count(t or "") for t in rows.column(1).to_pylist()]
                 n_bytes = pc.fill_null(pc.binary_length(rows.column(1)), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([rows.column(0), n_bytes, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

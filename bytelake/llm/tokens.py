@@ -3,43 +3,60 @@
 from __future__ import annotations
 
 import array
+import functools
 import re
 
+
+@functools.cache
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte: printable bytes stand for themselves, the others follow from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def spelled(text: str) -> str:
+    return text if text.isascii() and text.isalnum() else text.encode().decode("latin-1").translate(byte_letters())
+
+
 #: ASCII white space. The tokenizer drops all white space and never looks across it, so a text's ids are those of its parts.
 _SPACE = re.compile(r"[ \t\n\r\x0b\f]+")
+#: Words of Latin letters up to U+017F, digits and ASCII signs but the apostrophe and "<": normal form C leaves them as they are, each letter's lower case is one letter.
+_LATIN = "a-zA-ZÀ-ÖØ-öø-įı-ſ"
+_SIMPLE = re.compile(rf"[{_LATIN}0-9!-&(-/:;=-@\[-`{{-~]+")
+_PARTS = re.compile(rf"[{_LATIN}]+|[0-9]|[!-/:-@\[-`{{-~]+")
 
 
-class WordIds:
-    """Little-endian unsigned 32-bit ids of whole texts, by word; the library encodes each word once while it stays cached.
+class WordIds(dict):
+    """Word -> little-endian unsigned 32-bit ids. max_words bounds the cache, which is emptied when full; words over 64 characters are not kept.
 
-    max_words bounds the cache, which is emptied when full; words over 64 characters are never kept.
+    Simple words are cut and merged by the tokenizer's model directly; all others go through the whole library.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 250_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.max_words, self.known = Tokenizer.from_file(path), max_words, {}
+        super().__init__()
+        self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
+        self.merge = self.tokenizer.model.tokenize
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        words = list(words)
-        out = {}
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                out[w] = array.array("I", e.ids).tobytes()
+    def __missing__(self, word: str) -> bytes:
+        if _SIMPLE.fullmatch(word):
+            ids = [t.id for part in _PARTS.findall(word.lower()) for t in self.merge(spelled(part))]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        out = array.array("I", ids).tobytes()
+        if len(word) <= 64:
+            if len(self) >= self.max_words:
+                self.clear()
+            self[word] = out
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_SPACE.split(t) for t in texts]
-        fresh = set().union(*split).difference(self.known) if split else set()
-        if len(self.known) + len(fresh) > self.max_words:
-            self.known = {}
-            fresh = set().union(*split)
-        new = self._learn(fresh)
-        if len(new) <= self.max_words:
-            self.known.update((w, b) for w, b in new.items() if len(w) <= 64)
-            look = self.known if not any(len(w) > 64 for w in new) else {**self.known, **new}
-        else:
-            look = new
-        get = look.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, _SPACE.split(text)))
+
+
+@functools.lru_cache(2)
+def word_ids(path: str) -> WordIds:
+    """One for each Python process: its words stay known from task to task."""
+    return WordIds(path)

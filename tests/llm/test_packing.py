@@ -48,3 +48,16 @@ def test_packer_loses_nothing():
 
 def test_empty_table(spark, vocab):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), vocab("word_bpe_49k.json")).count() == 0
+
+
+def test_words_equal_the_library(vocab):
+    from tokenizers import Tokenizer
+
+    from bytelake.llm.tokens import WordIds
+
+    path = vocab("word_bpe_49k.json")
+    tok, words, rng = Tokenizer.from_file(path), WordIds(path, max_words=50), random.Random(2)
+    signs = [*map(chr, range(0x20, 0x250)), *"\u0300\u0301ΣΑσς日本١İ\u00a0\u2003😀", "<|endoftext|>", "'s", "'LL", *"abcdefgh ABC"] + ["\n", " ", "  ", "ing", "the"] * 20
+    for _ in range(3000):
+        text = "".join(rng.choices(signs, k=rng.randrange(12)))
+        assert words.encode(text) == b"".join(i.to_bytes(4, "little") for i in tok.encode(text, add_special_tokens=False).ids), repr(text)

@@ -54,6 +54,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc32_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted", F.size("spans").cast("long").alias("n_spans"), F.get("spans", F.lit(0))["start"].alias("first_offset"))
 
 
+def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytelake.llm.flac import describe, store
+
+    return describe(store(load(spark, sf_dir, "documents")))
+
+
 #: The masks of decontam, as offsets of the compared tokens.
 OP5_SQL = r"""
 WITH doc AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
@@ -88,7 +94,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op3_line_dedup": op3_line_dedup, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op9_toxicity": op9_toxicity}
+    return {"op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op3_line_dedup": op3_line_dedup, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op9_toxicity": op9_toxicity, "op10_flac": op10_flac}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelake.llm.common import crc32_mod, load
+from bytelake.llm.common import crc32_mod, load, written
 
 
 def _vocabulary(name: str) -> str:
@@ -46,6 +46,30 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytelake.llm.html_text import extract
+
+    return extract(load(spark, sf_dir, "pages"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytelake.llm.warc import archives, records
+
+    stored = written(archives(load(spark, sf_dir, "pages")), "warc")
+    return records(stored, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, max(page_id) OVER (PARTITION BY payload) AS last,
+             array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 1 + (((('0x' || substr(x, 5 * (i // 4)::INT + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)), 1)), '') AS digest FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to, NULL::VARCHAR AS error
+FROM d
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bytelake.llm.toxicity import score, train, training_rows
 
@@ -94,8 +118,8 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op3_line_dedup": op3_line_dedup, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op9_toxicity": op9_toxicity, "op10_flac": op10_flac}
+    return {"op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op3_line_dedup": op3_line_dedup, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op7_html_text": op7_html_text, "op8_warc": op8_warc, "op9_toxicity": op9_toxicity, "op10_flac": op10_flac}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL}

@@ -46,6 +46,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op6_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytelake.llm.ctw import score
+
+    return score(load(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bytelake.llm.html_text import extract
 
@@ -118,7 +124,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op3_line_dedup": op3_line_dedup, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op7_html_text": op7_html_text, "op8_warc": op8_warc, "op9_toxicity": op9_toxicity, "op10_flac": op10_flac}
+    return {"op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op3_line_dedup": op3_line_dedup, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op6_ctw": op6_ctw, "op7_html_text": op7_html_text, "op8_warc": op8_warc, "op9_toxicity": op9_toxicity, "op10_flac": op10_flac}
 
 
 def oracle_sql() -> dict[str, str]:

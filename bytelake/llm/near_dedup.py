@@ -50,15 +50,24 @@ def bucket_of(hashes: np.ndarray) -> np.ndarray:
 
 
 class Weights:
-    """Weight of a shingle in a text: its count there times an inverse document frequency between 1 and 2."""
+    """Weights of a text's shingles: the count there times an inverse document frequency.
+
+    Sampling takes ln(n / df), at least 0.1, so a passage that many documents share hardly makes two of them candidates. Similarity takes
+    1 + ln(n / df) / ln n, between 1 and 2, so the many copies of one text, which lower the weight of all that they share, stay similar.
+    """
 
     def __init__(self, frequencies: np.ndarray, n_docs: int):
-        self.idf = 1.0 + np.log((n_docs + 1.0) / (np.minimum(frequencies, n_docs) + 1.0)) / np.log(n_docs + 2.0)
+        log = np.log((n_docs + 1.0) / (np.minimum(frequencies, n_docs) + 1.0))
+        self.idf, self.sampling_idf = 1.0 + log / np.log(n_docs + 2.0), np.maximum(log, 0.1)
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         h, n = shingles(text)
         return h, n * self.idf[bucket_of(h)]
 
+    def for_sampling(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        h, n = shingles(text)
+        return h, n * self.sampling_idf[bucket_of(h)]
+
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Sum of smaller weights by sum of larger ones; 0 where both have none."""
@@ -72,29 +81,30 @@ class Sampler:
     """BANDS * ROWS consistent weighted samples of a text, as one hash for each band.
 
     For each sample and shingle, r and c are Gamma(2, 1) and beta is uniform; t = floor(ln w / r + beta) and
-    ln a = ln c - r (t - beta + 1); the shingle of the least a is sampled together with its t. Two texts agree in a sample with
+    ln a = ln c + r (beta - 1) - r t; the shingle of the least a is sampled together with its t. Two texts agree in a sample with
     the probability of their weighted Jaccard similarity. The draws are taken from a pool by a multiplicative hash for each sample.
     """
 
     def __init__(self, seed: int = 1):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.r = rng.gamma(2.0, 1.0, POOL)
-        self.ln_c = np.log(rng.gamma(2.0, 1.0, POOL))
-        self.beta = rng.random(POOL)
-        self.by_r = 1.0 / self.r
+        r, c, beta = rng.gamma(2.0, 1.0, POOL), rng.gamma(2.0, 1.0, POOL), rng.random(POOL)
+        self.by_r, self.beta, self.r = (1.0 / r).astype(np.float32), beta.astype(np.float32), r.astype(np.float32)
+        self.rest = (np.log(c) + r * (beta - 1.0)).astype(np.float32)  # ln a without its term of t
         self.times = rng.integers(1, 2**63, BANDS * ROWS, dtype=_U) * _U(2) + _U(1)
 
     def bands(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         k = BANDS * ROWS
-        least, sample = np.full(k, np.inf), np.zeros(k, _U)
-        for s in range(0, len(hashes), 512):  # a block fits the processor's cache
-            h, ln_w = hashes[s : s + 512, None], np.log(weights[s : s + 512])[:, None]
-            at = ((h * self.times) >> _U(48)).astype(np.intp)
-            beta = self.beta[at]
-            t = np.floor(ln_w * self.by_r[at] + beta)
-            ln_a = self.ln_c[at] - self.r[at] * (t - beta + 1.0)
+        ln_ws = np.log(weights).astype(np.float32)
+        least, sample, cols = np.full(k, np.inf, np.float32), np.zeros(k, _U), np.arange(k)
+        for s in range(0, len(hashes), 256):  # a block fits the processor's cache
+            at = ((hashes[s : s + 256, None] * self.times) >> _U(48)).astype(np.int32)
+            t = self.by_r.take(at)
+            t *= ln_ws[s : s + 256, None]
+            t += self.beta.take(at)
+            np.floor(t, out=t)
+            ln_a = self.rest.take(at)
+            ln_a -= self.r.take(at) * t
             first = ln_a.argmin(axis=0)
-            cols = np.arange(k)
             found = ln_a[first, cols]
             got = _mix(hashes[s + first] + _U(0x632BE59BD9B4E019) * t[first, cols].astype(np.int64).astype(_U))
             sample = np.where(found < least, got, sample)
@@ -195,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             ids, got = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = w.of(text)
+                x = w.for_sampling(text)
                 if len(x[0]):
                     ids.append(i)
                     got.append(sampler.bands(*x))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bytelake.llm.common import crc32_mod, load, written
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -17,14 +17,14 @@ def _vocabulary(name: str) -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bytelake.llm.packing import pack
 
-    pieces = pack(load(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    pieces = pack(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bytelake.llm.token_counts import token_counts
 
-    return token_counts(load(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return token_counts(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,12 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(store(load(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 #: The masks of decontam, as offsets of the compared tokens.
 OP5_SQL = r"""
 WITH doc AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
@@ -124,7 +130,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op3_line_dedup": op3_line_dedup, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op6_ctw": op6_ctw, "op7_html_text": op7_html_text, "op8_warc": op8_warc, "op9_toxicity": op9_toxicity, "op10_flac": op10_flac}
+    return {"op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op3_line_dedup": op3_line_dedup, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op6_ctw": op6_ctw, "op7_html_text": op7_html_text, "op8_warc": op8_warc, "op9_toxicity": op9_toxicity, "op10_flac": op10_flac, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -39,7 +39,7 @@ def field_type(c: Column) -> Column:
     depth = F.length(F.regexp_extract(c, r"^(\[*)", 1))
     base = F.substring(c, depth + 1, F.length(c))
     names = F.create_map(*[F.lit(x) for kv in PRIMITIVES.items() for x in kv])
-    name = F.when(F.length(base) == 1, F.element_at(names, base)).when(base.rlike("^L[^;]+;$"), dotted(F.expr("''") if base is None else F.substring(base, F.lit(2), F.length(base) - 2)))
+    name = F.when(F.length(base) == 1, F.element_at(names, base)).when(base.rlike("^L[^;]+;$"), dotted(F.regexp_extract(base, "^L([^;]+);$", 1)))
     return F.concat(name, F.repeat(F.lit("[]"), depth))
 
 

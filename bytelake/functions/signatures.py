@@ -71,7 +71,7 @@ class _Parser:
                 out += self.arguments(depth)
             elif self.peek() == ".":
                 self.take()
-                out += "." + self.until("<.;")
+                out = erased(out) + "$" + self.until("<.;")  # the class file's own name; the outer class's arguments are implied
             else:
                 self.take(";")
                 return out

@@ -73,16 +73,21 @@ def real_literal(value: float, kind: str) -> str:
     return repr(value)
 
 
+def member_dots(name: str) -> str:
+    """Member classes of the platform by a dot. Those of scanned classes are files of their own, under the class file's name."""
+    return name.replace("$", ".") if name.startswith(("java.", "javax.")) else name
+
+
 def short(name: str) -> str:
-    """A type as source writes it: without packages, member classes by a dot, generic arguments likewise."""
+    """A type as source writes it: without packages, and so its generic arguments."""
     out, word = [], ""
     for c in name:
         if c.isalnum() or c in "_$.":
             word += c
         else:
-            out += [word.rsplit(".", 1)[-1], c]
+            out += [member_dots(word).rsplit(".", 1)[-1], c]
             word = ""
-    return "".join([*out, word.rsplit(".", 1)[-1]])
+    return "".join([*out, member_dots(word).rsplit(".", 1)[-1]])
 
 
 def negate(e: E) -> E:
@@ -121,6 +126,8 @@ def coerce(e: E, kind: str) -> E:
     if kind == "char" and e.kind == "const" and e.type == "int" and e.text.isdigit():
         c = chr(int(e.text))
         return const("'" + ("\\'" if c == "'" else c if c == '"' else escape(c)) + "'", "char")
+    if kind == "char" and e.kind == "cond":
+        return E("cond", [e.args[0], coerce(e.args[1], kind), coerce(e.args[2], kind)], type="char")
     if kind in ("byte", "short") and e.kind == "const":
         return const(e.text, kind)
     return e

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from bytelake.functions.signatures import Malformed, erased, field_type, method_type
+from bytelake.functions.names import PRIMITIVES
+from bytelake.functions.signatures import Malformed, erased, field_type, method_type, method_types
 from bytelake.recon.expr import E, as_boolean, binary, coerce, const, impure, negate, reads_state, render, short, var
 from bytelake.recon.stmt import S, choose, lines
 from bytelake.recon.view import View
@@ -60,6 +61,7 @@ class Body:
         self.static = bool(row["access"] & 8)
         self.descriptor = view.utf8(row["desc_idx"]) or "()V"
         self.type = method_type(self.descriptor)
+        self.rich = method_types(self.descriptor, view.utf8(row["sig_idx"]))
         self.stack: list[E] = []
         self.frames: list[Frame] = []
         self.opened: set = set()
@@ -89,7 +91,7 @@ class Body:
         slot, self.parameters = 0, []
         if not self.static:
             self.current[0], slot = ("this", v.name), 1
-        for k, kind in enumerate(self.type.parameters):
+        for k, kind in enumerate(self.rich.parameters):
             found = next((s for s in self.scopes.get(slot, []) if s[0] == 0), None)
             name = found[2] if found else f"arg{k}"
             self.parameters.append((kind, name))
@@ -211,12 +213,23 @@ class Body:
                 pc = after if x["target"] == after else end if after >= end else self.next_live(after, end)
             elif x.get("target") is not None:
                 pc = self.run_branch(pc, end, out, follow)
+            elif x["op"] == "dup" and (behind := self.null_check(x)):
+                pc = behind
             else:
                 self.execute(x, out)
                 pc = after
                 if x["op"] in NO_FALLTHROUGH and pc < end:
                     pc = self.next_live(pc, end)
 
+    def null_check(self, dup: dict) -> int | None:
+        """Behind dup, Objects.requireNonNull or getClass, pop: the check that compilers put before a method reference or a member class's constructor."""
+        k = self.at[dup["pc"]]
+        if k + 2 >= len(self.insns) or self.insns[k + 2]["op"] != "pop" or not self.insns[k + 1]["op"].startswith("invoke") or self.insns[k + 1].get("cp") is None:
+            return None
+        call = self.view.ref(self.insns[k + 1]["cp"])
+        checks = (("java.util.Objects", "requireNonNull", "(Ljava/lang/Object;)Ljava/lang/Object;"), ("java.lang.Object", "getClass", "()Ljava/lang/Class;"))
+        return self.insns[k + 2]["pc"] + 1 if call in checks else None
+
     def next_live(self, pc: int, end: int) -> int:
         """The next offset in [pc, end) that something jumps to, or end."""
         live = [t for t in self.sources if pc <= t < end] + [p.start for p in self.protected if pc <= p.start < end and any(pc <= s < end for s in (p.start,)) and p.start in self.sources]
@@ -694,7 +707,7 @@ class Body:
                 self.push(E("call", [const("", "int"), a, b], "compare", "int", box))
         elif op in RETURNS:
             self.flush_keep(out, 1 if op != "return" else 0)
-            e = [coerce(self.pop(), erased(self.type.result))] if op != "return" else []
+            e = [as_variable(coerce(self.pop(), erased(self.type.result)), self.rich.result)] if op != "return" else []
             out.append(S("return", e, pc=pc))
             self.stack = []
         elif op == "athrow":
@@ -765,6 +778,7 @@ class Body:
         value = coerce(value, erased(target.type))
         if value.type == "null":
             value = const("null", target.type)
+        value = as_variable(value, target.type)
         if same or self.stack and getattr(self.stack[-1], "twin", None) is not None and self.stack[-1] is value:
             self.stack[-1] = E("assign", [target, value], type=target.type)
             return
@@ -967,6 +981,13 @@ class Body:
         return f"{render(captured[0], 15) if captured else short(owner)}::{name}"
 
 
+def as_variable(e: E, kind: str) -> E:
+    """e where a type variable is wanted: erasure has lost that it is one, so a cast says so."""
+    if "." in kind or "[" in kind or kind in PRIMITIVES.values() or e.type == kind or e.kind == "const" and e.text == "null" or e.kind == "lambda":
+        return e
+    return E("cast", [e.args[0] if e.kind == "cast" else e], type=kind)
+
+
 def _leaves(block: list[S]) -> bool:
     from bytelake.recon.stmt import ends
 

@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass
 
 from bytelake.functions.signatures import Malformed, class_type, erased, field_type, field_types, method_types
-from bytelake.recon.expr import E, coerce, escape, render, short
+from bytelake.recon.expr import E, coerce, escape, member_dots, render, short
 from bytelake.recon.method import Result, reconstruct
 from bytelake.recon.stmt import S, lines
 from bytelake.recon.view import View
@@ -97,9 +97,10 @@ def _method(view: View, row: dict, result: Result | None, override: bool, simple
     if name == "<init>" and view.access & 0x4000 and len(t.parameters) >= 2 and len(names) >= 2:
         skip = 2 if not row["sig_idx"] or len(t.parameters) == len(names) else 0
     kinds = list(t.parameters)
+    shown_kinds = [short(k) for k in kinds]
     if access & 0x80 and kinds and kinds[-1].endswith("[]"):
-        kinds[-1] = kinds[-1][:-2] + "..."
-    shown = ", ".join(f"{short(k)} {n}" for k, n in list(zip(kinds, names, strict=False))[skip:])
+        shown_kinds[-1] = shown_kinds[-1][:-2] + "..."
+    shown = ", ".join(f"{k} {n}" for k, n in list(zip(shown_kinds, names, strict=False))[skip:])
     variables = f"<{', '.join(short(v) for v in t.variables)}> " if t.variables else ""
     throws = [short(x) for x in (t.throws or [view.class_name(i) for i in row["throws"] or []])]
     head = words(access & ~0xC0, METHOD_FLAGS)
@@ -168,7 +169,7 @@ def class_source(row: dict, overrides: frozenset[int] = frozenset()) -> Source:
         body += [",\n".join(shown) + ";", ""] if shown else [";", ""]
     for f in row["fields"]:
         name = view.utf8(f["name_idx"])
-        if f["access"] & 0x1000 or enum and (f["access"] & 0x4000 or name == "$VALUES"):
+        if enum and (f["access"] & 0x4000 or name == "$VALUES"):
             continue
         body += _field(view, f, values.get(name))
     if body and body[-1]:
@@ -243,5 +244,5 @@ def _imports(view: View) -> list[str]:
     for x in sorted(found):
         home = x.rpartition(".")[0]
         if home and home != package and home != "java.lang" and "#" not in x:
-            out.setdefault(short(x), x)
+            out.setdefault(short(x), member_dots(x))
     return sorted(out.values())

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelake.operators.graph import closure
-from bytelake.operators.store import written
 from bytelake.sources.classes import ClassTables
 from bytelake.sources.opcodes import NO_FALLTHROUGH
 
@@ -60,10 +58,51 @@ def block_edges(t: ClassTables, found: DataFrame) -> DataFrame:
     return branch.union(fall).union(handler).join(starts, [*KEY, "b"], "left_semi").select(*KEY, "a", "b", "kind").distinct()
 
 
+def _per_method(found: DataFrame, edges: DataFrame, f, schema: str) -> DataFrame:
+    """f((class_id, method), edges of one method as (a, b, kind) and its entry) -> rows, for every method.
+
+    A method's graph is small and is needed whole, so one shuffle by method brings it to one place; rounds over all methods at once
+    would be as many as the longest path of the longest method.
+    """
+    entry = found.groupBy(*KEY).agg(F.min("start_pc").alias("b")).select(*KEY, F.lit(-1).alias("a"), "b", F.lit("entry").alias("kind"))
+    graph = edges.select(*KEY, "a", "b", "kind").unionByName(entry)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def one(key, table):
+        import pyarrow as pa
+
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("a", "b", "kind")), strict=True))
+        start = next((b for a, b, _ in rows if a == -1), None)
+        got = f([r for r in rows if r[0] != -1], start) if start is not None else []
+        cols = [*([k.as_py()] * len(got) for k in key), *([list(c) for c in zip(*got, strict=True)] or [[] for _ in names[2:]])]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, _types(schema), strict=True)], names=names)
+
+    return graph.groupBy(*KEY).applyInArrow(one, schema)
+
+
+def _types(schema: str) -> list:
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
+    return [kinds[x.split()[1]] for x in schema.split(", ")]
+
+
+def _reached(rows: list, start: int) -> set[int]:
+    after: dict[int, set[int]] = {}
+    for a, b, _ in rows:
+        after.setdefault(a, set()).add(b)
+    seen, wait = {start}, [start]
+    while wait:
+        for b in after.get(wait.pop(), ()):
+            if b not in seen:
+                seen.add(b)
+                wait.append(b)
+    return seen
+
+
 def reachable_blocks(found: DataFrame, edges: DataFrame) -> DataFrame:
     """(class_id, method, node): blocks that the entry reaches, over exception edges too."""
-    seed = found.groupBy(*KEY).agg(F.min("start_pc").alias("node"))
-    return closure(edges.select(*KEY, "a", "b").distinct(), seed, KEY, within=KEY)
+    return _per_method(found, edges, lambda rows, start: [(n,) for n in sorted(_reached(rows, start))], "class_id string, method int, node int")
 
 
 def dead_runs(t: ClassTables, found: DataFrame, live: DataFrame) -> DataFrame:
@@ -75,7 +114,7 @@ def dead_runs(t: ClassTables, found: DataFrame, live: DataFrame) -> DataFrame:
     return rows.where(~F.col("live")).groupBy(*KEY, "run").agg(F.min("pc").alias("start_pc"), F.max(F.col("pc") + F.col("length")).alias("end_pc")).drop("run")
 
 
-def _dominators(nodes: list[int], edges: list[tuple[int, int]], entry: int) -> dict[int, int | None]:
+def _dominators(edges: list[tuple[int, int]], entry: int) -> dict[int, int | None]:
     """Immediate dominators of the nodes that entry reaches, by the public algorithm of Cooper, Harvey and Kennedy."""
     after: dict[int, list[int]] = {}
     before: dict[int, list[int]] = {}
@@ -117,42 +156,45 @@ def _dominators(nodes: list[int], edges: list[tuple[int, int]], entry: int) -> d
 
 
 def dominators(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """(class_id, method, node, idom): immediate dominators, null for the entry; unreachable blocks have no row. One method at a time: dominance is a fixpoint over the method's own small graph."""
-    graph = edges.select(*KEY, "a", "b").union(found.groupBy(*KEY).agg(F.min("start_pc").alias("b")).select(*KEY, F.lit(-1).alias("a"), "b")).distinct()
-
-    def one(key, rows):
-        import pandas as pd
-
-        pairs = list(zip(rows["a"].tolist(), rows["b"].tolist(), strict=True))
-        idom = _dominators([], pairs, -1)
-        got = [(*key, n, None if d == -1 else d) for n, d in sorted(idom.items()) if n != -1]
-        return pd.DataFrame(got, columns=[*KEY, "node", "idom"]).astype({"idom": "Int32"})
-
-    return graph.groupBy(*KEY).applyInPandas(one, "class_id string, method int, node int, idom int")
+    """(class_id, method, node, idom): immediate dominators, null for the entry; unreachable blocks have no row."""
+    return _per_method(found, edges, lambda rows, start: sorted(_dominators([r[:2] for r in rows], start).items()), "class_id string, method int, node int, idom int")
+
+
+def _loops(rows: list, start: int) -> list[tuple]:
+    idom = _dominators([r[:2] for r in rows], start)
+    plain = {(a, b) for a, b, kind in rows if kind != "handler" and a in idom}
+    before: dict[int, set[int]] = {}
+    for a, b in plain:
+        before.setdefault(b, set()).add(a)
+
+    def dominates(a: int, b: int | None) -> bool:
+        while b is not None and b != a:
+            b = idom[b]
+        return b == a
+
+    latches: dict[int, set[int]] = {}
+    for a, b in plain:
+        if dominates(b, a):
+            latches.setdefault(b, set()).add(a)
+    out = []
+    for header, ends in sorted(latches.items()):
+        inside, wait = {header}, [n for n in ends if n != header]
+        inside |= set(wait)
+        while wait:  # backwards from the latches; the header itself is not passed
+            for n in before.get(wait.pop(), ()):
+                if n not in inside:
+                    inside.add(n)
+                    wait.append(n)
+        leaving = {a for a, b in plain if a in inside and b not in inside}
+        kind = "while" if header in leaving and not (len(inside) == 1) else "do-while" if leaving & ends else "endless"
+        out.append((header, sorted(ends), sorted(inside), len(inside), kind))
+    return out
 
 
 def loops(found: DataFrame, edges: DataFrame) -> DataFrame:
     """(class_id, method, header, latches, blocks, n_blocks, kind): natural loops, those of one header as one.
 
     A back edge leads to a block that dominates its start. The loop is the header and all that reaches a latch without passing through the
-    header. kind: `while` if the header can leave the loop, `do-while` if only a latch can, else `endless`.
+    header. kind: `while` if the header can leave the loop and is not all of it, `do-while` if a latch can, else `endless`.
     """
-    idom = written(dominators(found, edges), "dominators")
-    up = closure(idom.where("idom IS NOT NULL").select(*KEY, F.col("node").alias("a"), F.col("idom").alias("b")), idom.select(*KEY, F.col("node").alias("from"), "node"), [*KEY, "from"], within=KEY)
-    plain = edges.where("kind <> 'handler'").select(*KEY, "a", "b").distinct()
-    back = plain.join(up.select(*KEY, F.col("from").alias("a"), F.col("node").alias("b")), [*KEY, "a", "b"], "left_semi")
-    back = written(back.select(*KEY, F.col("a").alias("latch"), F.col("b").alias("header")), "back")
-    # backwards from the latches; the header itself is not passed
-    reverse = plain.select(*KEY, F.col("b").alias("a"), F.col("a").alias("b"))
-    headers = back.select(*KEY, "header").distinct()
-    reverse = reverse.join(headers, KEY).where("a <> header").select(*KEY, "header", "a", "b").distinct()
-    inside = closure(reverse, back.select(*KEY, "header", F.col("latch").alias("node")), [*KEY, "header"], within=[*KEY, "header"])
-    nodes = written(inside.union(headers.select(*KEY, "header", F.col("header").alias("node"))).distinct(), "loops")
-    leaving = plain.join(nodes.withColumnRenamed("node", "a"), [*KEY, "a"]).join(nodes.withColumnRenamed("node", "b"), [*KEY, "header", "b"], "left_anti")
-    by_latch = leaving.join(back.withColumnRenamed("latch", "a"), [*KEY, "header", "a"], "left_semi").select(*KEY, "header").distinct().withColumn("bottom", F.lit(True))
-    by_header = leaving.where("a = header").select(*KEY, "header").distinct().withColumn("top", F.lit(True))
-    rows = nodes.groupBy(*KEY, "header").agg(F.array_sort(F.collect_set("node")).alias("blocks"), F.count("*").alias("n_blocks"))
-    rows = rows.join(back.groupBy(*KEY, "header").agg(F.array_sort(F.collect_set("latch")).alias("latches")), [*KEY, "header"])
-    rows = rows.join(by_header, [*KEY, "header"], "left").join(by_latch, [*KEY, "header"], "left")
-    kind = F.when(F.col("top") & ~(F.coalesce("bottom", F.lit(False)) & (F.col("n_blocks") == 1)), "while").when(F.col("bottom"), "do-while").otherwise("endless")
-    return rows.select(*KEY, "header", "latches", "blocks", "n_blocks", kind.alias("kind"))
+    return _per_method(found, edges, _loops, "class_id string, method int, header int, latches array<int>, blocks array<int>, n_blocks int, kind string")

@@ -88,7 +88,7 @@ def unique_paths(found: DataFrame) -> DataFrame:
 def zip_archives(found: DataFrame) -> DataFrame:
     """(archive, content): per scanned archive, a zip of its sources, stored. An archive must fit into one value, so into 2 GB."""
 
-    def one(key, table: pa.Table) -> pa.Table:
+    def one(key, table):
         files = sorted(zip(table.column("path").to_pylist(), table.column("text").to_pylist(), strict=True))
         return pa.table({"archive": [key[0].as_py()], "content": pa.array([zips.stored([(p, x.encode()) for p, x in files])], pa.binary())})
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytelake.plans import shapes
+from bytelake.plans import bytecode, shapes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(shapes.QUERIES)
+    return {**shapes.QUERIES, **bytecode.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -153,6 +153,76 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights, similarity: float) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(part, "a long, b long")
 
 
+#: Bands of at most this many texts are compared pair by pair; larger ones in blocks.
+SMALL, BLOCK = 32, 1024
+
+
+def _compact(text: str) -> bytes:
+    """The upper halves of a text's shingle hashes, each as often as it occurs, in order: enough for a similarity that is at most a trifle too high."""
+    h, n = shingles(text)
+    return np.repeat((h >> _U(32)).astype(np.uint32), n).tobytes()
+
+
+def _compare(mine: list[tuple], others: list[tuple] | None, idf: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs (id, id) of members (id, label, compact hashes) of different labels that may be similar: of mine with others, or of mine among themselves.
+
+    Overlaps are summed up through an index of the others' hashes, so the work is in what two texts share.
+    """
+    first = mine if others is None else others
+    hashes = [np.unique(np.frombuffer(m[2], np.uint32), return_counts=True) for m in first]
+    owner = np.repeat(np.arange(len(first)), [len(h) for h, _ in hashes])
+    flat = np.concatenate([h for h, _ in hashes]) if hashes else np.empty(0, np.uint32)
+    weight = np.concatenate([n for _, n in hashes]) * idf[flat >> 14] if len(flat) else np.empty(0)
+    total = np.bincount(owner, weight, len(first))
+    order = np.argsort(flat, kind="stable")
+    flat, owner, weight = flat[order], owner[order], weight[order]
+    ids, labels, out = np.array([m[0] for m in first]), np.array([m[1] for m in first]), []
+    for k, (i, label, raw) in enumerate(mine):
+        h, n = hashes[k] if others is None else np.unique(np.frombuffer(raw, np.uint32), return_counts=True)
+        w = n * idf[h >> 14]
+        lo, hi = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
+        length = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(h) else np.empty(0, np.int64)
+        both = np.bincount(owner[at], np.minimum(weight[at], np.repeat(w, length)), len(first))
+        found = (both >= (similarity - 1e-6) * (total + w.sum() - both)) & (labels != label) & (ids != i) & (both > 0)
+        if others is None:
+            found[: k + 1] = False
+        out += [(i, int(j)) for j in ids[found]]
+    return out
+
+
+def _all_pairs(active: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
+    """Pairs (a, b) of one band and different labels, for verification: all of them in small bands, and in large ones those that may be similar.
+
+    A large band is cut into blocks of some BLOCK texts, and each two blocks are compared in one task; no pair is a row before it is found similar.
+    """
+    sizes = written(active.groupBy("band").agg(F.count("*").alias("n")), "sizes")
+    few = active.join(sizes.where(F.col("n") <= SMALL).select("band"), "band")
+    other = few.select("band", F.col("id").alias("b"), F.col("label").alias("other"))
+    pairs = few.withColumnRenamed("id", "a").join(other, "band").where("label < other").select("a", "b")
+    many = active.join(sizes.where(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "band")
+    many = many.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select("band", "id", "label", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    ids = many.select("id").distinct()
+
+    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_compact(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "hashes"])
+
+    hashes = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(compact, "id long, hashes binary")
+
+    def blocks(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("id", "label", "hashes", "block")), strict=True))
+        rows = sorted({r[0]: r for r in rows}.values())
+        got = _compare([r[:3] for r in rows if r[3] == i], None if i == j else [r[:3] for r in rows if r[3] == j], weights.value.idf, similarity)
+        return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
+
+    found = many.join(hashes, "id").groupBy("band", "i", "j").applyInArrow(blocks, "a long, b long")
+    return pairs.unionByName(found)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (id, label) for every id of edges (a, b): label is the least id of its connected component.
 
@@ -186,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links. Equal texts are one node. n_links counts the links that were needed to find the classes of this text (0: it is alone or has exact copies only).
 
     Texts that share a band are compared with two leaders of the band, drawn anew in each of `rounds` rounds, unless their classes are already one; after these
-    rounds, all pairs of a band whose classes still differ are compared. So every link between different classes is found, and a band of many copies
+    rounds, all texts of a band whose classes still differ are compared, those of large bands block by block. So every link between different classes is found, and a band of many copies
     costs its size times the leaders. Document frequencies are over all distinct texts, by hash bucket.
 
     Texts without words (null, empty) are equal only to the same text: null counts as empty. Null ids come back once a row with null class_id, rep_id and n_links 0.
@@ -223,8 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             tried = active.join(lead, "band").select("id", "label", F.explode(F.array("p", "q")).alias("l"))
             tried = tried.where("label <> l.label").select(F.col("id").alias("a"), F.col("l.id").alias("b"))
         else:
-            other = active.select("band", F.col("id").alias("b"), F.col("label").alias("other"))
-            tried = active.withColumnRenamed("id", "a").join(other, "band").where("label < other").select("a", "b")
+            tried = _all_pairs(active, texts, weights, similarity)
         # the same two may meet in several bands and as each other's leaders
         tried = tried.select(F.col("a"), F.col("b"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         tried = tried.groupBy("x", "y").agg(F.max("b").alias("b"))

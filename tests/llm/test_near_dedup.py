@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from bytelake.llm import near_dedup
 from bytelake.llm.near_dedup import BUCKETS, Sampler, Weights, bucket_of, components, keep_one, near_duplicates, shingles, weighted_jaccard
 
 
@@ -44,8 +45,10 @@ def brute(rows):
     return {(i, label[texts[t or ""]], texts[t or ""]) for i, t in rows}
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_equals_all_pairs(spark, rounds):
+@pytest.mark.parametrize(("rounds", "small", "block"), [(0, 32, 1024), (2, 32, 1024), (0, 2, 7)])
+def test_equals_all_pairs(spark, rounds, small, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = made() + [(9000, ""), (9001, None), (9002, "  \n")]
     rows += [(9003, rows[3][1]), rows[5]]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, label int")

@@ -36,14 +36,14 @@ def ancestors(headers: DataFrame) -> DataFrame:
     return closure(edges, edges.select(F.col("a").alias("name"), F.col("b").alias("node")), ["name"]).withColumnRenamed("node", "ancestor")
 
 
-def overrides(t: ClassTables, headers: DataFrame | None = None) -> DataFrame:
+def overrides(t: ClassTables, also: ClassTables | None = None) -> DataFrame:
     """(class_id, seq, name, descriptor, ancestor): methods that override one of an ancestor on the class path: neither is static, the ancestor's is not private, and constructors never do.
-    Of several ancestors, the first by name."""
-    headers = classpath(class_headers(t)) if headers is None else headers
-    methods = method_headers(t)
-    own = class_headers(t).select("class_id", F.col("name").alias("class_name"))
-    mine = methods.where((F.col("access").bitwiseAND(0x8) == 0) & ~F.col("name").startswith("<")).join(own, "class_id")
-    above = methods.where(F.col("access").bitwiseAND(0xA) == 0).join(headers.select("class_id", F.col("name").alias("ancestor")), "class_id").select("ancestor", "name", "descriptor").distinct()
+    Of several ancestors, the first by name. also: a class path behind the scanned classes themselves."""
+    own, methods = class_headers(t), method_headers(t)
+    headers = classpath(own, *([class_headers(also)] if also is not None else []))
+    every = methods.unionByName(method_headers(also)) if also is not None else methods
+    mine = methods.where((F.col("access").bitwiseAND(0x8) == 0) & ~F.col("name").startswith("<")).join(own.select("class_id", F.col("name").alias("class_name")), "class_id")
+    above = every.where(F.col("access").bitwiseAND(0xA) == 0).join(headers.select("class_id", F.col("name").alias("ancestor")), "class_id").select("ancestor", "name", "descriptor").distinct()
     pairs = ancestors(headers).withColumnRenamed("name", "class_name").where("class_name <> ancestor")
     found = mine.join(pairs, "class_name").join(above, ["ancestor", "name", "descriptor"])
     return found.groupBy("class_id", "seq", "name", "descriptor").agg(F.min("ancestor").alias("ancestor"))

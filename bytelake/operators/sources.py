@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bytelake.operators.hierarchy import overrides
 from bytelake.operators.resolve import class_names
 from bytelake.sources import zips
 from bytelake.sources.classes import ClassTables
@@ -16,14 +17,14 @@ from bytelake.sources.classes import ClassTables
 SOURCES = "class_id string, archive string, path string, class_name string, text string, n_methods int, n_unstructured int, error string"
 
 
-def sources(t: ClassTables, overrides: DataFrame | None = None) -> DataFrame:
+def sources(t: ClassTables, marked: DataFrame | None = None) -> DataFrame:
     """One row per class: its source. path is that of the source file. A class on which reconstruction fails has a stub and the error; the job goes on.
 
-    overrides (class_id, seq): methods to mark as overriding. Classes are worked through independently, so the work spreads over all cores however few archives there are.
+    marked (class_id, seq): methods to mark as overriding. Classes are worked through independently, so the work spreads over all cores however few archives there are.
     """
     rows = t.rows
-    if overrides is not None:
-        rows = rows.join(overrides.groupBy("class_id").agg(F.collect_set("seq").alias("__overrides")), "class_id", "left")
+    if marked is not None:
+        rows = rows.join(marked.groupBy("class_id").agg(F.collect_set("seq").alias("__overrides")), "class_id", "left")
     else:
         rows = rows.withColumn("__overrides", F.lit(None).cast("array<int>"))
 
@@ -75,10 +76,10 @@ def unique_paths(found: DataFrame) -> DataFrame:
     stem = F.regexp_extract("path", r"([^/]*)\.java$", 1)
     new = F.concat(stem, F.lit("_"), (F.col("__n") - 2).cast("string"))
     # a name made so may be taken: then the row's hash makes it unique
-    taken = found.select("archive", F.lower("path").alias("__taken")).distinct()
+    taken = found.select(F.col("archive").alias("__archive"), F.lower("path").alias("__taken")).distinct()
     path = F.when(F.col("__n") == 1, F.col("path")).otherwise(F.concat(F.regexp_extract("path", r"^(.*/)?[^/]*$", 1), new, F.lit(".java")))
     rows = rows.withColumn("__path", path).withColumn("__stem", stem)
-    rows = rows.join(taken, (rows["archive"].eqNullSafe(taken["archive"])) & (F.col("__n") > 1) & (F.lower("__path") == F.col("__taken")), "left").drop(taken["archive"])
+    rows = rows.join(taken, F.col("archive").eqNullSafe(F.col("__archive")) & (F.col("__n") > 1) & (F.lower("__path") == F.col("__taken")), "left")
     rows = rows.withColumn("__path", F.when(F.col("__taken").isNotNull(), F.regexp_replace("__path", r"\.java$", F.concat(F.lit("_"), F.substring("class_id", 1, 8), F.lit(".java")))).otherwise(F.col("__path")))
     name = F.regexp_extract("__path", r"([^/]*)\.java$", 1)
     renamed = F.regexp_replace("text", F.concat(F.lit(r"(?<![\w$])\Q"), "__stem", F.lit(r"\E(?![\w$])")), name)
@@ -90,7 +91,7 @@ def zip_archives(found: DataFrame) -> DataFrame:
 
     def one(key, table):
         files = sorted(zip(table.column("path").to_pylist(), table.column("text").to_pylist(), strict=True))
-        return pa.table({"archive": [key[0].as_py()], "content": pa.array([zips.stored([(p, x.encode()) for p, x in files])], pa.binary())})
+        return pa.table({"archive": pa.array([key[0].as_py()], pa.string()), "content": pa.array([zips.stored([(p, x.encode()) for p, x in files])], pa.binary())})
 
     return found.select("archive", "path", "text").groupBy("archive").applyInArrow(one, "archive string, content binary")
 
@@ -116,9 +117,8 @@ def write_tree(found: DataFrame, folder: str) -> int:
     return unique_paths(found).select("path", "text").mapInArrow(part, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def sources_with_overrides(t: ClassTables) -> DataFrame:
-    from bytelake.operators.hierarchy import overrides
-
-    return sources(t, overrides(t).select("class_id", "seq"))
+def sources_with_overrides(t: ClassTables, also: ClassTables | None = None) -> DataFrame:
+    """sources(), with the methods marked that override one of the scanned classes or of a class path."""
+    return sources(t, overrides(t, also).select("class_id", "seq"))
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelake.operators import cfg, hierarchy, resolve, scopes, sources
+from bytelake.operators import cfg, hierarchy, resolve, scopes, sources, trees
 from bytelake.operators.store import written
 from bytelake.sources import classes as C
 
@@ -44,7 +44,7 @@ def graphs(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return _GRAPHS[key]
 
 
-def _query(name: str, f: Callable[[C.ClassTables], DataFrame], drop: str = "archive") -> None:
+def _query(name: str, f: Callable[[C.ClassTables], DataFrame]) -> None:
     QUERIES[name] = lambda spark, sf_dir: f(tables(spark))
 
 
@@ -56,8 +56,9 @@ def bc_s4_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["bc_s4_entries"] = bc_s4_entries
 _query("bc_s15_classes", lambda t: t.classes.drop("archive"))
-for _name in C.TABLES:
-    _query({"cp": "bc_s16_cp", "interfaces": "bc_s17_interfaces", "fields": "bc_s17_fields", "methods": "bc_s17_methods", "insns": "bc_s24_insns", "handlers": "bc_s18_handlers", "lines": "bc_s19_lines", "lvt": "bc_s19_lvt", "lvtt": "bc_s19_lvtt", "frames": "bc_s20_frames", "inner": "bc_s22_inner", "bootstrap": "bc_s22_bootstrap", "annotations": "bc_s21_annotations", "diagnostics": "bc_s16_diagnostics"}[_name], lambda t, n=_name: getattr(t, n))
+_IDS = {"cp": "bc_s16_cp", "interfaces": "bc_s17_interfaces", "fields": "bc_s17_fields", "methods": "bc_s17_methods", "insns": "bc_s24_insns", "handlers": "bc_s18_handlers", "lines": "bc_s19_lines", "lvt": "bc_s19_lvt", "lvtt": "bc_s19_lvtt", "frames": "bc_s20_frames", "inner": "bc_s22_inner", "bootstrap": "bc_s22_bootstrap", "annotations": "bc_s21_annotations", "diagnostics": "bc_s16_diagnostics"}
+for _name, _id in _IDS.items():
+    _query(_id, lambda t, n=_name: getattr(t, n))
 _query("bc_s25_headers", lambda t: resolve.class_headers(t).drop("archive"))
 _query("bc_j1_references", resolve.references)
 _query("bc_j1_constants", resolve.constants)
@@ -91,3 +92,9 @@ _query("bc_t5_sources", lambda t: sources.sources_with_overrides(t).drop("archiv
 _query("bc_j15_merged_sources", lambda t: sources.merge_inner(t, sources.sources(t)).drop("archive"))
 _query("bc_a10_unique_paths", lambda t: sources.unique_paths(sources.sources(t)).drop("archive"))
 _query("bc_k4_zip", lambda t: sources.zip_archives(sources.sources(t)).select(F.octet_length("content").alias("n_bytes"), F.crc32("content").alias("crc")))
+_query("bc_m1_ast_nodes", trees.ast_nodes)
+_query("bc_w9_after_return", lambda t: trees.after_return(trees.ast_nodes(t)))
+_query("bc_w12_local_types", trees.local_types)
+_query("bc_a8_final_types", lambda t: trees.final_local_types(trees.local_types(t)))
+_query("bc_a9_assignment_counts", lambda t: trees.assignment_counts(trees.ast_nodes(t)))
+_query("bc_a11_condition_names", lambda t: trees.condition_names(trees.ast_nodes(t)))

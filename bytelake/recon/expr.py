@@ -130,6 +130,8 @@ def coerce(e: E, kind: str) -> E:
         return E("cond", [e.args[0], coerce(e.args[1], kind), coerce(e.args[2], kind)], type="char")
     if kind in ("byte", "short") and e.kind == "const":
         return const(e.text, kind)
+    if kind in ("byte", "short", "char") and e.type == "int" and e.kind != "const":  # a local without a declared type is taken for an int
+        return E("cast", [e], type=kind)
     return e
 
 

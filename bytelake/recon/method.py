@@ -779,6 +779,8 @@ class Body:
         if value.type == "null":
             value = const("null", target.type)
         value = as_variable(value, target.type)
+        if value.kind == "lambda" and value.more and "<" not in target.type:
+            value = E("lambda", text=value.more, type=value.type)
         if same or self.stack and getattr(self.stack[-1], "twin", None) is not None and self.stack[-1] is value:
             self.stack[-1] = E("assign", [target, value], type=target.type)
             return
@@ -920,7 +922,7 @@ class Body:
         if owner == "java.lang.invoke.StringConcatFactory":
             self.push(self.concat(boot, factory, args))
         elif owner == "java.lang.invoke.LambdaMetafactory" and len(boot["args"]) > 1:
-            self.push(E("lambda", text=self.lambda_text(boot, args), type=t.result))
+            self.push(E("lambda", text=self.lambda_text(boot, args), type=t.result, more=self.explicit(boot, args)))
         else:
             e = E("indy", args, name, t.result)
             self.push(e) if t.result != "void" else self.emit(S("expr", [e]), out, pc)
@@ -951,6 +953,26 @@ class Body:
             parts.insert(0, string(""))
         return E("concat", parts, type="java.lang.String")
 
+    def explicit(self, boot: dict, captured: list[E]) -> str | None:
+        """A method reference as a lambda that casts its parameters, for where the functional type's arguments are lost."""
+        handle = self.view.pool.get(boot["args"][1]) or {}
+        owner, name, _ = self.view.ref(handle.get("ref1"))
+        if name.startswith("lambda$") or len(boot["args"]) < 3:
+            return None
+        try:
+            kinds = method_type(self.view.utf8((self.view.pool.get(boot["args"][2]) or {}).get("ref1")) or "()V").parameters
+        except Malformed:
+            return None
+        given = [k if k in PRIMITIVES.values() else f"({short(k)}) a{n}" for n, k in enumerate(kinds)]
+        given = [f"a{n}" if k in PRIMITIVES.values() else g for n, (k, g) in enumerate(zip(kinds, given, strict=True))]
+        head = f"({', '.join(f'a{n}' for n in range(len(kinds)))})"
+        if handle.get("handle") == 8:
+            return f"{head} -> new {short(owner)}({', '.join(given)})"
+        if handle.get("handle") == 6:
+            return f"{head} -> {short(owner)}.{name}({', '.join([*map(render, captured), *given])})"
+        target, rest = (render(captured[0], 15), given) if captured else (f"(({short(owner)}) a0)", given[1:])
+        return f"{head} -> {target}.{name}({', '.join(rest)})"
+
     def lambda_text(self, boot: dict, captured: list[E]) -> str:
         handle = self.view.pool.get(boot["args"][1]) or {}
         owner, name, desc = self.view.ref(handle.get("ref1"))

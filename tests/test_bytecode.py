@@ -7,7 +7,7 @@ import zipfile
 import pytest
 
 from bytelake.functions import names as N
-from bytelake.operators import cfg, graph, hierarchy, resolve, scopes, sources
+from bytelake.operators import cfg, graph, hierarchy, resolve, scopes, sources, trees
 from bytelake.plans.bytecode import sample_archive
 from bytelake.sources.classes import ClassTables, archive_entries, files
 from bytelake.sources.zips import stored
@@ -197,6 +197,20 @@ def test_sources_and_sinks(spark, jar, tmp_path):
         assert len(z.namelist()) == 218
 
 
+def test_trees(jar):
+    nodes = trees.ast_nodes(jar).cache()
+    assert nodes.count() > 10_000 and nodes.where("parent >= node").count() == 0 and trees.after_return(nodes).count() == 0
+    parents = nodes.select("class_id", "method", nodes["node"].alias("parent"))
+    assert nodes.where("parent >= 0").join(parents, ["class_id", "method", "parent"], "left_anti").count() == 0
+    locals_ = trees.local_types(jar).cache()
+    # where debug tables name a variable, the inferred name is that one
+    named = scopes.locals_at(jar).where("type IS NOT NULL").select("class_id", "method", "pc", "slot", "name")
+    both = named.join(locals_.select("class_id", "method", "pc", "slot", locals_["name"].alias("inferred")), ["class_id", "method", "pc", "slot"])
+    assert both.count() > 3500 and both.where("name <> inferred").count() == 0
+    assert trees.final_local_types(locals_).groupBy("class_id", "method", "slot").count().where("count > 1").count() == 0
+    assert trees.condition_names(nodes).count() > 50 and trees.assignment_counts(nodes).count() > 500
+
+
 def test_paths_that_differ_by_case(spark):
     rows = [("1", "", "F.java", "F", "class F { F f = new F(); }"), ("2", "", "f.java", "f", "class f { f x = new f(); }"), ("3", "", "Plain.java", "Plain", "class Plain { f y; }"), ("4", "", "f_0.java", "f_0", "class f_0 {}")]
     found = spark.createDataFrame([(*r, 0, 0, None) for r in rows], sources.SOURCES)

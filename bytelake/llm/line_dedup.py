@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bytelake.llm.common import written
+
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,7 +42,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = lines.select("__id", "__kth", "__pos", _ascii_lower(F.col("__s")).alias("__key"))
     lines = lines.select("__id", "__kth", "__pos", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit("line"), "__key").alias("__h2"))
     shared = lines.groupBy("__h1", "__h2").agg(F.count_distinct("__id").alias("__n"), F.max("__id").alias("__keeper"))
-    shared = shared.where(F.col("__n") >= min_docs).select("__h1", "__h2", "__keeper")
+    # written, so that both sides of the join come from shuffles of their own and AQE may split a key that very many lines share
+    shared = written(shared.where(F.col("__n") >= min_docs).select("__h1", "__h2", "__keeper"), "shared-lines")
     gone = lines.join(shared, ["__h1", "__h2"]).where(~F.col("__id").eqNullSafe(F.col("__keeper")))
     gone = gone.groupBy("__id", "__kth").agg(F.collect_set("__pos").alias("__gone"))
     both = base.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__kth")), "left")

@@ -26,3 +26,18 @@ def closure(edges: DataFrame, seed: DataFrame, owner: list[str], within: list[st
         if len(rounds) % 8 == 0:  # many small tables would make the anti-join's plan long
             known = written(known, "closure")
     return known
+
+
+def transitive(edges: DataFrame) -> DataFrame:
+    """Rows (a, b) for every path from a to b along edges (a, b), cycles included.
+
+    Paths double in length each round, so the rounds are as many as the longest shortest path has binary digits; for graphs whose whole closure is wanted and is not much larger than they are,
+    such as type hierarchies.
+    """
+    known = written(edges.select("a", "b").distinct(), "paths")
+    while True:
+        step = known.join(known.select(known["a"].alias("b"), known["b"].alias("c")), "b").select("a", "c").withColumnRenamed("c", "b")
+        new = written(step.distinct().join(known, ["a", "b"], "left_anti"), "paths")
+        if new.isEmpty():
+            return known
+        known = written(known.union(new), "paths")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelake.operators.graph import closure
+from bytelake.operators.graph import transitive
 from bytelake.operators.resolve import class_headers, method_headers
-from bytelake.operators.store import written
 from bytelake.sources.classes import ClassTables
 
 #: Methods of java.lang.Object that need no class path to be known as overridden (fixed values).
@@ -32,8 +31,7 @@ def supertypes(headers: DataFrame) -> DataFrame:
 
 def ancestors(headers: DataFrame) -> DataFrame:
     """(name, ancestor): all supertypes; a class in a cycle is its own ancestor. Ancestors outside the class path are named, but lead no further."""
-    edges = written(supertypes(headers), "supertypes")
-    return closure(edges, edges.select(F.col("a").alias("name"), F.col("b").alias("node")), ["name"]).withColumnRenamed("node", "ancestor")
+    return transitive(supertypes(headers)).select(F.col("a").alias("name"), F.col("b").alias("ancestor"))
 
 
 def overrides(t: ClassTables, also: ClassTables | None = None) -> DataFrame:

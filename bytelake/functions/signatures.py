@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from bytelake.functions.names import PRIMITIVES
@@ -172,3 +173,16 @@ def field_types(descriptor: str, signature: str | None) -> str:
         return field_type(signature) if signature else field_type(descriptor)
     except Malformed:
         return field_type(descriptor)
+
+
+def bound(text: str, declared: frozenset[str] | set[str]) -> str:
+    """A type in which type variables that nothing here declares (those of an outer class, say) are Object."""
+    return _NAME.sub(lambda m: m[0] if "." in m[0] or m[0] in declared or m[0] in _WORDS else "java.lang.Object", text)
+
+
+_NAME = re.compile(r"[\w$.]+")
+_WORDS = frozenset([*PRIMITIVES.values(), "extends", "super"])
+
+
+def variable_names(variables: list[str]) -> list[str]:
+    return [v.split(" ")[0] for v in variables]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from bytelake.functions.names import PRIMITIVES
-from bytelake.functions.signatures import Malformed, erased, field_type, method_type, method_types
+from bytelake.functions.signatures import Malformed, bound, erased, field_type, method_type, variable_names
 from bytelake.recon.expr import E, as_boolean, binary, coerce, const, impure, negate, reads_state, render, short, var
 from bytelake.recon.stmt import S, choose, lines
 from bytelake.recon.view import View
@@ -61,7 +61,8 @@ class Body:
         self.static = bool(row["access"] & 8)
         self.descriptor = view.utf8(row["desc_idx"]) or "()V"
         self.type = method_type(self.descriptor)
-        self.rich = method_types(self.descriptor, view.utf8(row["sig_idx"]))
+        self.rich = view.types(row)
+        self.variables = view.variables | set(variable_names(self.rich.variables))
         self.stack: list[E] = []
         self.frames: list[Frame] = []
         self.opened: set = set()
@@ -81,7 +82,7 @@ class Body:
             name, kind = v.utf8(x["name_idx"]), None
             for text in (generic.get((x["slot"], x["start_pc"], x["length"])), v.utf8(x["type_idx"])):
                 try:
-                    kind = kind or (field_type(text) if text else None)
+                    kind = kind or (bound(field_type(text), self.variables) if text else None)
                 except Malformed:
                     pass
             if name and kind:

@@ -6,7 +6,7 @@ import json
 import re
 from dataclasses import dataclass
 
-from bytelake.functions.signatures import Malformed, class_type, erased, field_type, field_types, method_types
+from bytelake.functions.signatures import Malformed, bound, class_type, erased, field_type, field_types
 from bytelake.recon.expr import E, coerce, escape, member_dots, render, short
 from bytelake.recon.method import Result, reconstruct
 from bytelake.recon.stmt import S, lines
@@ -77,15 +77,10 @@ def _annotations(view: View, owner: str, seq: int, deprecated: bool, override: b
     return out
 
 
-def _signature(view: View, row: dict):
-    descriptor = view.utf8(row["desc_idx"]) or "()V"
-    return method_types(descriptor, view.utf8(row["sig_idx"]))
-
-
 def _method(view: View, row: dict, result: Result | None, override: bool, simple: str) -> list[str]:
     name = view.utf8(row["name_idx"]) or f"method#{row['seq']}"
     try:
-        t = _signature(view, row)
+        t = view.types(row)
     except Malformed:
         return [f"// method {name} has a malformed descriptor", ""]
     out = _annotations(view, "method", row["seq"], row["deprecated"], override)
@@ -115,7 +110,7 @@ def _method(view: View, row: dict, result: Result | None, override: bool, simple
 def _field(view: View, row: dict, initial: E | None) -> list[str]:
     name = view.utf8(row["name_idx"]) or f"field#{row['seq']}"
     try:
-        kind = field_types(view.utf8(row["desc_idx"]) or "Ljava/lang/Object;", view.utf8(row["sig_idx"]))
+        kind = bound(field_types(view.utf8(row["desc_idx"]) or "Ljava/lang/Object;", view.utf8(row["sig_idx"])), view.variables)
     except Malformed:
         kind = "java.lang.Object"
     value = initial
@@ -211,7 +206,7 @@ def _head(view: View, simple: str, enum: bool, interface: bool) -> str:
     if signature:
         try:
             t = class_type(signature)
-            super_name, faces = t.super_name, t.interfaces
+            super_name, faces = bound(t.super_name, view.variables), [bound(f, view.variables) for f in t.interfaces]
             variables = f"<{', '.join(short(v) for v in t.variables)}>" if t.variables else ""
         except Malformed:
             pass

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from functools import cached_property
 
-from bytelake.functions.signatures import Malformed, field_type
+from bytelake.functions.signatures import Malformed, MethodSignature, bound, class_type, field_type, method_types, variable_names
 from bytelake.recon.expr import E, const, real_literal
 
 
@@ -62,6 +62,21 @@ class View:
             return const(real_literal(struct.unpack(">f" if kind == "float" else ">d", bits.to_bytes(4 if kind == "float" else 8, "big"))[0], kind), kind)
         return const(f"/* ldc#{idx} */ null", "java.lang.Object")
 
+    @cached_property
+    def variables(self) -> frozenset[str]:
+        """Type variables that the class declares."""
+        text = self.utf8(self.row.get("sig_idx"))
+        try:
+            return frozenset(variable_names(class_type(text).variables)) if text else frozenset()
+        except Malformed:
+            return frozenset()
+
+    def types(self, row: dict) -> MethodSignature:
+        """A method's generic types, with the type variables that it or the class declares."""
+        t = method_types(self.utf8(row["desc_idx"]) or "()V", self.utf8(row["sig_idx"]))
+        known = self.variables | set(variable_names(t.variables))
+        return MethodSignature([bound(p, known) for p in t.parameters], bound(t.result, known), [bound(x, known) for x in t.throws], t.variables)
+
     @cached_property
     def by_method(self) -> dict[str, dict[int, list[dict]]]:
         out: dict[str, dict[int, list[dict]]] = {}

@@ -220,3 +220,27 @@ def test_paths_that_differ_by_case(spark):
     got = {r.class_id: (r.path, r.text) for r in sources.unique_paths(found).collect()}
     assert got["1"] == rows[0][2:3] + rows[0][4:] and got["3"][1] == rows[2][4] and got["4"][0] == "f_0.java"
     assert got["2"] == ("f_0_2.java", "class f_0_2 { f_0_2 x = new f_0_2(); }") and len({p.lower() for p, _ in got.values()}) == 4
+
+
+def test_damaged_classes_never_fail_the_job(spark, tmp_path):
+    """Truncated, flipped and blanked classes of the archive: each has a row, a source, and the rest of the job is whole."""
+    rng, rows = random.Random(4), {}
+    with zipfile.ZipFile(JAR) as z:
+        names = [n for n in z.namelist() if n.endswith(".class") and "-info" not in n][:60]
+        for k, n in enumerate(names):
+            data = bytearray(z.read(n))
+            how = k % 6
+            if how == 0:
+                data = data[: rng.randrange(len(data))]
+            elif how == 1:
+                data[:8] = bytes(8)
+            elif how < 5:
+                for _ in range((1, 5, 20)[how - 2]):
+                    data[rng.randrange(10, len(data))] = rng.randrange(256)
+            rows[f"d/{k}"] = bytes(data)
+    t = ClassTables.scan(spark, folder(tmp_path, rows))
+    found = sources.sources(t).collect()
+    assert len(found) == 60 == t.classes.count() and all("class" in r.text or "interface" in r.text or "enum" in r.text for r in found)
+    assert t.classes.where("status = 'fatal'").count() >= 20 and t.diagnostics.count() >= 20
+    blocks = cfg.blocks(t)
+    assert cfg.loops(blocks, cfg.block_edges(t, blocks)).count() >= 0 and scopes.locals_at(t).count() > 0

@@ -3,27 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from bytelake.operators.store import written
 
 
-def closure(edges: DataFrame, seed: DataFrame, owner: list[str], within: list[str] | None = None) -> DataFrame:
+def closure(edges: DataFrame, seed: DataFrame, owner: list[str], within: list[str] | None = None, steps: int = 3) -> DataFrame:
     """Rows (*owner, node) of seed and of all that their nodes reach along edges (*within, a, b).
 
-    Semi-naive: a round joins only what the round before found, and an anti-join drops what is known; so cycles end, and
-    the rounds are as many as the longest shortest path. Each round is a table in the shared folder, so lineage does not grow.
+    Semi-naive: a round goes `steps` steps from what the round before found last, and an anti-join drops what is known; so cycles end, and
+    the rounds are the longest shortest path by `steps`. Each round is a table in the shared folder, so lineage does not grow.
     """
     within = within or []
     cols = [*owner, "node"]
     known = frontier = written(seed.select(cols).distinct(), "closure")
-    rounds = [known]
+    ways = edges.select(*within, edges["a"].alias("node"), edges["b"].alias("__to"))
+    rounds = 1
     while not frontier.isEmpty():
-        step = frontier.join(edges.select(*within, edges["a"].alias("node"), edges["b"].alias("__to")), [*within, "node"])
-        step = step.select(*owner, step["__to"].alias("node")).distinct()
-        frontier = written(step.join(known, cols, "left_anti"), "closure")
-        rounds.append(frontier)
-        known = known.union(frontier)
-        if len(rounds) % 8 == 0:  # many small tables would make the anti-join's plan long
+        at, found = frontier, None
+        for k in range(steps):
+            at = at.join(ways, [*within, "node"]).select(*owner, F.col("__to").alias("node")).distinct()
+            level = at.withColumn("__step", F.lit(k))
+            found = level if found is None else found.union(level)
+        found = found.groupBy(*cols).agg(F.min("__step").alias("__step"))
+        found = written(found.join(known, cols, "left_anti"), "closure")
+        frontier = found.where(F.col("__step") == steps - 1).select(cols)
+        known = known.union(found.select(cols))
+        rounds += 1
+        if rounds % 8 == 0:  # many small tables would make the anti-join's plan long
             known = written(known, "closure")
     return known
 

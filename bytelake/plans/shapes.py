@@ -188,7 +188,7 @@ def d_nested_ranges(spark, sf_dir):
 
 @shape(
     """
-    SELECT conv_id, turn, sum(CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN -1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS depth FROM conversations
+    SELECT conv_id, turn, (sum(CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN -1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text))::BIGINT AS depth FROM conversations
     """
 )
 def d_bracket_depth(spark, sf_dir):

@@ -7,13 +7,28 @@ from pyspark.sql import functions as F
 
 from bytelake.operators.store import shared_dir, written
 
-__all__ = ["crc32_mod", "load", "shared_dir", "written"]
+__all__ = ["crc32_mod", "load", "prefix", "shared_dir", "without", "written"]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prefix(df: DataFrame) -> str:
+    """Underscores with which no column of df starts, for columns that are added meanwhile. Names do not differ by case."""
+    out = "__"
+    while any(c.startswith(out) for c in df.columns):
+        out += "_"
+    return out
+
+
+def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """df without the rows whose id is among the ids of gone (one column). Rows with a null id stay."""
+    name = prefix(df) + "gone"
+    ids = gone.select(gone[gone.columns[0]].alias(name)).distinct()
+    return df.join(ids, F.col(f"`{id_col}`") == F.col(name), "left_anti")
+
+
 def crc32_mod(id_col: str, n: int):
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bytelake.llm.common import without
+
 #: Ones are compared, zeros may be substituted. Their gaps fit texts in which every third, fourth or fifth token was replaced.
 MASKS = ("11011011", "1110111", "1111011")
 #: Rows of benchmark hashes (some 40 bytes each) that are sent to every executor at most; a larger set is joined by a shuffle.
@@ -79,5 +81,4 @@ def leaks(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the documents in which leaks() finds an item. Rows with a null id stay: they cannot be named."""
-    found = leaks(docs, benchmark, id_col, text_col, **how).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("__leaked"), "left_anti")
+    return without(docs, id_col, leaks(docs, benchmark, id_col, text_col, **how).select("doc_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.common import written
+from bytelake.llm.common import prefix, written
 
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,7 +21,7 @@ def _ascii_lower(c: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with shared lines dropped: text_col is the kept text; new columns __n_lines and __n_dropped.
+    """docs with shared lines dropped: text_col is the kept text; new columns __n_lines and __n_dropped, in the place of any that are called so.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. A key of at
     least min_chars code points that at least min_docs distinct documents hold loses all its lines but those of
@@ -35,7 +35,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines share is counted by partial aggregates; in the join back, it is a skewed
     partition that AQE splits.
     """
-    base = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__th", F.xxhash64("__text"))
+    p = prefix(docs)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.withColumn(f"{p}text", text).withColumn(f"{p}th", F.xxhash64(f"{p}text"))
     lines = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     lines = lines.select("__id", F.xxhash64("__text").alias("__kth"), F.posexplode(_lines(F.col("__text"))).alias("__pos", "__line"))
     lines = lines.select("__id", "__kth", "__pos", F.btrim("__line", F.lit(SPACE)).alias("__s")).where(F.length("__s") >= min_chars)
@@ -46,14 +48,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = written(shared.where(F.col("__n") >= min_docs).select("__h1", "__h2", "__keeper"), "shared-lines")
     gone = lines.join(shared, ["__h1", "__h2"]).where(~F.col("__id").eqNullSafe(F.col("__keeper")))
     gone = gone.groupBy("__id", "__kth").agg(F.collect_set("__pos").alias("__gone"))
-    both = base.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__kth")), "left")
-    both = both.withColumn("__lines", _lines(F.col("__text")))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    kept = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(left, lambda p: F.get("__lines", p)), "\n"))
-    both = both.select(
-        *[F.col(c) for c in docs.columns if c != text_col],
-        kept.alias("__kept"),
-        F.size("__lines").cast("long").alias("__n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_dropped"),
-    )
-    return both.select(*[F.col("__kept").alias(c) if c == text_col else F.col(c) for c in docs.columns], "__n_lines", "__n_dropped")
+    gone = gone.select(F.col("__id").alias(f"{p}id"), F.col("__kth").alias(f"{p}kth"), F.col("__gone").alias(f"{p}gone"))
+    both = base.join(gone, F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}th") == F.col(f"{p}kth")), "left")
+    both = both.withColumn(f"{p}lines", _lines(F.col(f"{p}text")))
+    left = F.array_except(F.sequence(F.lit(0), F.size(f"{p}lines") - 1), F.col(f"{p}gone"))
+    kept = F.when(F.col(f"{p}gone").isNull(), F.col(f"{p}text")).otherwise(F.array_join(F.transform(left, lambda k: F.get(f"{p}lines", k)), "\n"))
+    counts = {"__n_lines": F.size(f"{p}lines"), "__n_dropped": F.coalesce(F.size(f"{p}gone"), F.lit(0))}
+    return both.select(*[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in counts], *[c.cast("long").alias(name) for name, c in counts.items()])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.common import written
+from bytelake.llm.common import without, written
 
 SHINGLE_WORDS = 5
 #: Buckets of shingle hashes by which document frequencies are kept: their table is of this size for any corpus.
@@ -327,5 +327,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the rows whose class has a smaller id: one document of each class stays. Rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col, **how).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return without(docs, id_col, near_duplicates(docs, id_col, text_col, **how).where("doc_id <> class_id").select("doc_id"))

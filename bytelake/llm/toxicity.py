@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.common import crc32_mod
+from bytelake.llm.common import crc32_mod, without
 
 BINS = 1 << 18
 _WORD = re.compile(r"\w+")
@@ -244,5 +244,4 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """docs without the documents predicted toxic. Rows with a null id stay."""
     model = train(training_rows(docs, id_col), labels, id_col, text_col)
-    gone = score(docs, model, id_col, text_col, threshold).where("predicted = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return without(docs, id_col, score(docs, model, id_col, text_col, threshold).where("predicted = 1").select("doc_id"))

@@ -23,9 +23,9 @@ def test_equals_brute_force(spark):
     rows = [(1, f"{s}\nown text of the first\n\n{e}"), (2, f"  {s.replace('S', 's')}\t\r\nx"), (3, f"{s}\n{s}\n{e} "), (4, e), (5, None), (6, ""), (None, s), (7, "short\nshort"), (8, "short"), (9, "short")]
     rows += [(4, e), (4, f"{e}\nsecond row of four"), (10, "\n\n" + e + "\n"), (11, s.replace("É", "é")), (12, "\x1c" + s), (13, s.upper())]
     rows += [(20, "\n".join(f"line {i % 7} of a very long document" for i in range(3000)))] + [(i, f"line {i % 7} of a very long document") for i in range(21, 50)]
-    docs = spark.createDataFrame([(t, "n", i) for i, t in rows], "text string, __pos string, doc_id long")
-    got = dedup_lines(docs.withColumnRenamed("__pos", "line"))
-    assert got.columns == ["text", "line", "doc_id", "__n_lines", "__n_dropped"]
+    docs = spark.createDataFrame([(t, "n", "m", i) for i, t in rows], "text string, __th string, __gone string, doc_id long")
+    got = dedup_lines(docs)
+    assert got.columns == ["text", "__th", "__gone", "doc_id", "__n_lines", "__n_dropped"] and {r["__th"] for r in got.collect()} == {"n"}
     assert sorted(((r.doc_id, r.text, r["__n_lines"], r["__n_dropped"]) for r in got.collect()), key=str) == brute(rows)
 
 

@@ -51,7 +51,7 @@ def test_equals_all_pairs(spark, rounds, small, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = made() + [(9000, ""), (9001, None), (9002, "  \n")]
     rows += [(9003, rows[3][1]), rows[5]]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, label int")
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, label int, __gone int")
     got = near_duplicates(docs, rounds=rounds).collect()
     assert {(r.doc_id, r.class_id, r.rep_id) for r in got} == brute(rows) and len(got) == len(rows)
     if rounds:

@@ -23,4 +23,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table: lineage ends there, and nothing is computed twice."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing will read again. Frames that were derived from them and not yet computed can no longer be."""
+    for df in tables:
+        spark, path = df.sparkSession, df._written_at
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelake.operators.store import shared_dir, written
+from bytelake.operators.store import discard, shared_dir, written
 
-__all__ = ["crc32_mod", "load", "prefix", "shared_dir", "without", "written"]
+__all__ = ["crc32_mod", "discard", "load", "prefix", "shared_dir", "without", "written"]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

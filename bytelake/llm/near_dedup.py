@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.common import without, written
+from bytelake.llm.common import discard, without, written
 
 SHINGLE_WORDS = 5
 #: Buckets of shingle hashes by which document frequencies are kept: their table is of this size for any corpus.
@@ -230,22 +230,26 @@ def components(edges: DataFrame) -> DataFrame:
     Each round's tables are written to the shared folder.
     """
     left = edges.where("a <> b").select("a", "b")
-    labels = None
+    labels, done = None, []
     while True:
         both = written(left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+        discard(*done)
         if both.isEmpty():
             break
         least = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "least")
         up = least.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        least = written(least.join(up, "label").select("id", F.col("up").alias("label")), "labels")
+        jumped = written(least.join(up, "label").select("id", F.col("up").alias("label")), "jumped")
+        discard(least)
         if labels is None:
-            labels = least
+            labels = written(jumped, "labels")
         else:
-            near = least.select(F.col("id").alias("label"), F.col("label").alias("up"))
-            labels = written(labels.join(near, "label", "left").select("id", F.coalesce("up", "label").alias("label")), "labels")
-        to = least.select(F.col("id").alias("a"), F.col("label").alias("la"))
+            near = jumped.select(F.col("id").alias("label"), F.col("label").alias("up"))
+            old, labels = labels, written(labels.join(near, "label", "left").select("id", F.coalesce("up", "label").alias("label")), "labels")
+            discard(old)
+        to = jumped.select(F.col("id").alias("a"), F.col("label").alias("la"))
         left = both.where("a < b").join(to, "a").join(to.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b")
         left = left.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+        done = [both, jumped]
     return labels if labels is not None else both.select(F.col("a").alias("id"), F.col("b").alias("label"))
 
 
@@ -285,7 +289,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(texts.mapInArrow(bands, "id long, band long"), "members")
     shared = members.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
     active = written(members.join(shared, "band").select("band", "id", F.col("id").alias("label")), "bands")
+    # only these are compared: from here on, no text that shares no band is moved
+    near = written(texts.join(active.select("id").distinct(), "id", "left_semi"), "near-texts")
+    discard(members, texts)
     links: list[DataFrame] = []
+    label, stale = None, [active]
     for turn in range(rounds + 1):
         by = lambda side: F.xxhash64(F.lit(turn), side)
         if turn < rounds:
@@ -293,21 +301,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             tried = active.join(lead, "band").select("id", "label", F.explode(F.array("p", "q")).alias("l"))
             tried = tried.where("label <> l.label").select(F.col("id").alias("a"), F.col("l.id").alias("b"))
         else:
-            tried = _all_pairs(active, texts, weights, similarity)
+            tried = _all_pairs(active, near, weights, similarity)
         # the same two may meet in several bands and as each other's leaders
         tried = tried.select(F.col("a"), F.col("b"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         tried = tried.groupBy("x", "y").agg(F.max("b").alias("b"))
         tried = tried.select(F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b")
-        found = written(_verified(tried, texts, weights, similarity), "links")
+        found = written(_verified(tried, near, weights, similarity), "links")
         if not found.isEmpty():
             links.append(found)
+            if label is not None:
+                discard(label)
             label = components(reduce(DataFrame.union, links))
             active = active.select("band", "id").join(label, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
         if turn < rounds:
             mixed = active.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
             active = written(active.join(mixed, "band").select("band", "id", "label"), "bands")
+            discard(*stale)
+            stale = [active]
             if active.isEmpty():
                 break
+    discard(near)
     rows = keyed.select("id", "h1", "h2").join(groups, ["h1", "h2"])
     if links:
         every = reduce(DataFrame.union, links)

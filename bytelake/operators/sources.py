@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from bytelake.operators.hierarchy import overrides
 from bytelake.operators.resolve import class_names
 from bytelake.sources import zips
-from bytelake.sources.classes import ClassTables
+from bytelake.sources.classes import ClassTables, python_rows
 
 SOURCES = "class_id string, archive string, path string, class_name string, text string, n_methods int, n_unstructured int, error string"
 
@@ -34,8 +34,7 @@ def sources(t: ClassTables, marked: DataFrame | None = None) -> DataFrame:
         schema = pa.schema([(x.split()[0], pa.int32() if x.endswith(" int") else pa.string()) for x in SOURCES.split(", ")])
         for batch in batches:
             out = []
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
+            for row in python_rows(batch):
                 path = row["path"].removesuffix(".class") + ".java"
                 base = {"class_id": row["class_id"], "archive": row["archive"], "path": path}
                 try:
@@ -47,7 +46,7 @@ def sources(t: ClassTables, marked: DataFrame | None = None) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    return rows.mapInArrow(part, SOURCES)
+    return rows.drop("lines", "frames").mapInArrow(part, SOURCES)
 
 
 def merge_inner(t: ClassTables, found: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytelake.sources.classes import ClassTables
+from bytelake.sources.classes import ClassTables, python_rows
 
 NODES = "class_id string, method int, node int, parent int, role string, ord int, kind string, text string, type string, pc int"
 LOCALS = "class_id string, method int, pc int, slot int, name string, type string"
@@ -24,8 +24,7 @@ def _per_class(t: ClassTables, rows_of, schema: str) -> DataFrame:
         fields = [(x.split()[0], pa.int32() if x.endswith(" int") else pa.string()) for x in schema.split(", ")]
         for batch in batches:
             out: list[tuple] = []
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
+            for row in python_rows(batch):
                 if row["status"] != "ok":
                     continue
                 view = View(row)
@@ -35,7 +34,7 @@ def _per_class(t: ClassTables, rows_of, schema: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f[1]) for c, f in zip(zip(*out, strict=True), fields, strict=True)], names=[f[0] for f in fields])
 
-    return t.rows.mapInArrow(part, schema)
+    return t.rows.drop("lines", "frames", "annotations").mapInArrow(part, schema)
 
 
 def ast_nodes(t: ClassTables) -> DataFrame:

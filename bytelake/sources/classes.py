@@ -40,6 +40,9 @@ DECODED = pa.schema(ROOT + [(name, pa.list_(pa.struct(columns))) for name, colum
 ENTRIES = pa.schema([("archive", _S), ("path", _S), ("status", _S), ("crc32", _L), ("packed_size", _L), ("offset", _L), ("content", pa.binary())])
 
 
+TASK_BYTES = 2_000_000
+
+
 def _spark_schema(schema: pa.Schema):
     from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -79,7 +82,7 @@ def class_bytes(spark: SparkSession, paths: str | list[str], partitions: int | N
     inside = archive_entries(found).where("status = 'ok' AND path LIKE '%.class'").select("archive", "path", "content")
     plain = found.where(F.col("path").endswith(".class")).select(F.lit("").alias("archive"), "path", "content")
     rows = inside.unionByName(plain).where(~F.col("path").rlike(r"(module|package)-info\.class$"))
-    return rows.repartition(partitions) if partitions else rows.repartition("archive", "path")
+    return rows.repartition(partitions, "archive", "path") if partitions else rows.repartition("archive", "path")
 
 
 def decoded(classes: DataFrame) -> DataFrame:
@@ -103,6 +106,37 @@ def decoded(classes: DataFrame) -> DataFrame:
     return classes.select("archive", "path", "content").mapInArrow(part, _spark_schema(DECODED))
 
 
+def _plain(array: pa.Array) -> list:
+    """Python values of an array, by the fast way for its type."""
+    if pa.types.is_nested(array.type):
+        return array.to_pylist()
+    if pa.types.is_boolean(array.type) or array.null_count == 0 and not pa.types.is_floating(array.type):
+        return array.to_numpy(zero_copy_only=False).tolist() if array.null_count == 0 else array.to_pylist()
+    return array.to_pandas(integer_object_nulls=True).tolist() if not pa.types.is_floating(array.type) else array.to_pylist()
+
+
+def python_rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of the decoded table as Python values, its arrays as lists of dicts. Columns are converted whole, which is many times faster than value by value; tables that the batch leaves out are empty."""
+    names = batch.schema.names
+    flat: dict[str, list] = {}
+    spans: dict[str, tuple[list[int], list[dict]]] = {}
+    for name, column in zip(names, batch.columns, strict=True):
+        if name in TABLES:
+            offsets = column.offsets.to_pylist()
+            inside = column.values
+            fields = [f.name for f in inside.type]
+            values = [_plain(inside.field(k)) for k in range(len(fields))]
+            spans[name] = offsets, [dict(zip(fields, row, strict=True)) for row in zip(*values, strict=True)]
+        else:
+            flat[name] = _plain(column)
+    for k in range(batch.num_rows):
+        row = {name: values[k] for name, values in flat.items()}
+        for name in TABLES:
+            offsets, values = spans.get(name, ([0] * (batch.num_rows + 1), []))
+            row[name] = values[offsets[k] : offsets[k + 1]]
+        yield row
+
+
 class ClassTables:
     """The tables of decoded classes. Each is a DataFrame keyed by class_id (and method, for those of code)."""
 
@@ -111,8 +145,12 @@ class ClassTables:
 
     @classmethod
     def scan(cls, spark: SparkSession, paths: str | list[str]) -> ClassTables:
-        """Decode everything under paths once, to a table in the shared folder."""
-        return cls(written(decoded(class_bytes(spark, paths)), "classes"))
+        """Decode everything under paths once, to a table in the shared folder.
+
+        Decoding and what follows cost some seconds a megabyte, so partitions are made for the work and not for the bytes: of some TASK_BYTES of files each, and at least one for each core.
+        """
+        size = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        return cls(written(decoded(class_bytes(spark, paths, max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))), "classes"))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name == "classes":

@@ -31,7 +31,7 @@ class Unstructured(Exception):
 @dataclass
 class Frame:
     kind: str  # loop, switch
-    break_pc: int
+    breaks: frozenset[int]
     continues: frozenset[int] = frozenset()
     label: str = ""
     used: bool = False  # by a labelled jump
@@ -203,7 +203,7 @@ class Body:
                 pc = self.run_try(p, end, out, follow)
                 continue
             if pc in self.loops and pc not in self.opened and self.loops[pc] <= end:
-                pc = self.run_loop(pc, out)
+                pc = self.run_loop(pc, end, out, follow)
                 continue
             x = self.insns[self.at[pc]]
             after = pc + x["length"]
@@ -244,7 +244,7 @@ class Body:
                 if not loops:
                     return [S("continue")]
                 return [S("continue", text=self.label(f))]
-            if target == f.break_pc:
+            if target in f.breaks:
                 if not loops and not switches:
                     return [S("break")]
                 return [S("break", text=self.label(f))]
@@ -409,6 +409,12 @@ class Body:
                 rest = end
         if rest is not None and self.jump(last["target"]) is not None and last["target"] != follow and rest == end and last["target"] > end:
             rest = None
+        until = last["pc"]
+        if rest is None and last["op"] in NO_FALLTHROUGH and target < end:
+            # the first branch ends otherwise, but something in it jumps over what would be the second
+            over = [g for x in self.insns[self.at[body] : self.at[target]] for g in [x.get("target")] if g is not None and g > target and (g <= end or g == follow) and self.jump(g) is None]
+            if over:
+                rest, until = min(min(over), end), target
         if rest is None:
             yes, after = self.inner(body, target, target if target != end else follow, stack)
             if len(after) != base and not _leaves(yes):
@@ -418,7 +424,7 @@ class Body:
             out += choose(e, yes, [])
             return target
         onward = rest if rest != end else follow
-        yes, a = self.inner(body, last["pc"], onward, stack)
+        yes, a = self.inner(body, until, onward, stack)
         no, b = self.inner(target, rest, onward, stack)
         if not yes and not no and len(a) == len(b) == base + 1:
             self.stack = [*stack, self.choice(e, a[-1], b[-1])]
@@ -447,12 +453,13 @@ class Body:
 
     # -- loops
 
-    def run_loop(self, head: int, out: list[S]) -> int:
+    def run_loop(self, head: int, end: int, out: list[S], follow: int) -> int:
         self.flush(out)
         behind = self.loops[head]
         last = self.before(behind)
         self.opened.add(head)
-        frame = Frame("loop", behind, frozenset([head, last["pc"]] if last["op"] == "goto" else [head]))
+        # at the end of a range, ways out of the loop lead straight to what follows the range
+        frame = Frame("loop", frozenset([behind, follow] if behind == end else [behind]), frozenset([head, last["pc"]] if last["op"] == "goto" else [head]))
         self.frames.append(frame)
         try:
             if last["op"] == "goto":
@@ -482,7 +489,13 @@ class Body:
                 pc += x["length"]
             if pc >= last["pc"] or self.insns[self.at[pc]]["op"] == "goto":
                 raise Unstructured("no condition")
-            e, target, body, stack = self.chain(pc, last["pc"], last=behind)
+            for leave in sorted(frame.breaks):
+                try:
+                    e, target, body, stack = self.chain(pc, last["pc"], last=leave)
+                    break
+                except Unstructured:
+                    if leave == max(frame.breaks):
+                        raise
             block, _ = self.inner(body, last["pc"], head, stack)
             return S("while", [e], [block], pc=head)
         except Unstructured:
@@ -533,7 +546,7 @@ class Body:
             leave = last
         else:
             leave = self.extent(last, end)
-        frame = Frame("switch", leave)
+        frame = Frame("switch", frozenset([leave, follow] if leave == end else [leave]))
         stop = min(leave, end)
         if x["default"] == leave:
             arms.pop(leave)

@@ -68,6 +68,8 @@ public class Many {
   int nested(String s) { try { try { return s.length(); } finally { COUNT--; } } catch (NullPointerException e) { return 3; } }
   char ch(int i) { char c = 'a'; c += i; return c == 'c' ? '\\n' : c; }
   boolean not(boolean a, Object o) { if (!a || !(o instanceof String)) return false; boolean b = a != (o == null); return !b; }
+  boolean tri(Integer v, Integer t, Integer f) { if (v == null) { if (t == null) return true; if (f == null) return false; } else { if (v.equals(t)) return true; if (v.equals(f)) return false; } throw new IllegalArgumentException("no"); }
+  String strip(String s, String c) { int e = s.length(); if (c == null) { while (e != 0 && Character.isWhitespace(s.charAt(e - 1))) e--; } else { while (e != 0 && c.indexOf(s.charAt(e - 1)) != -1) e--; } return s.substring(0, e); }
   int assign(Iterator<Integer> it) { int n = 0, x; while (it.hasNext() && (x = it.next()) != 3) { n += x; } return n; }
 }
 """
@@ -84,6 +86,8 @@ public class Check {
     b.append(m.str("one")).append(m.str("two")).append(m.str("x")).append(m.loops(new int[] {1, 3, 4, 9, 5}, Arrays.asList("a", "bcd")));
     b.append(Arrays.toString(m.arr())).append(m.nested(null)).append(m.nested("abc")).append(Many.COUNT).append(m.assign(Arrays.asList(1, 2, 3, 4).iterator()));
     b.append(m.gen(Collections.singletonMap("a", Arrays.asList(5)))).append(m.gen(Collections.singletonMap("a", Arrays.asList((Integer) null)))).append(Many.NAMES);
+    b.append(m.tri(null, null, 1)).append(m.tri(null, 1, null)).append(m.tri(4, 4, 5)).append(m.tri(5, 4, 5)).append(m.strip("ab  ", null)).append(m.strip("abcc", "cb"));
+    try { m.tri(6, 4, 5); } catch (IllegalArgumentException e) { b.append(e.getMessage()); }
     Try t = new Try();
     b.append(t.parse("12")).append(t.parse("x")).append(t.multi(null)).append(t.multi("abc")).append(t.fin(4)).append(t.fin(9)).append(Try.COUNT);
     t.lock("x"); b.append(Try.COUNT);

@@ -16,6 +16,8 @@ SHINGLE_WORDS = 5
 #: Buckets of shingle hashes by which document frequencies are kept: their table is of this size for any corpus.
 BUCKETS = 1 << 18
 BANDS, ROWS = 12, 4
+#: Tables of ids of at most this many rows (some 16 bytes each) are sent to every executor; larger ones are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Random draws of the sampling are taken from a fixed pool of this size.
 POOL = 1 << 16
 #: ASCII punctuation and white space part words.
@@ -134,10 +136,19 @@ def _frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out, int(n[bucket < 0].sum())
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast if it is of at most BROADCAST_ROWS rows; else a join with it is a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
-    """Of pairs (a, b), those of at least that weighted Jaccard similarity. b, the side that many pairs share, comes last, so it is in order."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    """Of pairs (a, b) (a written table), those of at least that weighted Jaccard similarity. b is the side that many pairs share.
+
+    Texts are sought by the pairs, so only those of pairs are moved.
+    """
+    leaders = written(pairs.select("b").distinct(), "leaders")
+    both = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(_small(pairs), "a")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(_small(leaders), "b", "left_semi"), "b")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, last, of_last = weights.value, None, None
@@ -290,8 +301,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = members.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
     active = written(members.join(shared, "band").select("band", "id", F.col("id").alias("label")), "bands")
     # only these are compared: from here on, no text that shares no band is moved
-    near = written(texts.join(active.select("id").distinct(), "id", "left_semi"), "near-texts")
-    discard(members, texts)
+    ids = written(active.select("id").distinct(), "near-ids")
+    near = written(texts.join(_small(ids), "id", "left_semi"), "near-texts")
+    discard(members, texts, ids)
     links: list[DataFrame] = []
     label, stale = None, [active]
     for turn in range(rounds + 1):
@@ -306,7 +318,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tried = tried.select(F.col("a"), F.col("b"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         tried = tried.groupBy("x", "y").agg(F.max("b").alias("b"))
         tried = tried.select(F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b")
+        tried = written(tried, "pairs")
         found = written(_verified(tried, near, weights, similarity), "links")
+        discard(tried)
         if not found.isEmpty():
             links.append(found)
             if label is not None:

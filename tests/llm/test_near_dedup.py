@@ -49,6 +49,7 @@ def brute(rows):
 def test_equals_all_pairs(spark, rounds, small, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0 if rounds else 1_000_000)
     rows = made() + [(9000, ""), (9001, None), (9002, "  \n")]
     rows += [(9003, rows[3][1]), rows[5]]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, label int, __gone int")

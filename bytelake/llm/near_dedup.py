@@ -165,7 +165,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights, similarity: float) ->
 
 
 #: Bands of at most this many texts are compared pair by pair; larger ones in blocks.
-SMALL, BLOCK = 32, 1024
+SMALL, BLOCK = 32, 512
 
 
 def _compact(text: str) -> bytes:
@@ -298,18 +298,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), BANDS)), pa.array(flat)], names=["id", "band"])
 
     members = written(texts.mapInArrow(bands, "id long, band long"), "members")
-    shared = members.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
+    # what is joined by band is written first: both sides then come from shuffles of their own, and AQE may split a band that very many texts share
+    shared = written(members.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band"), "shared-bands")
     active = written(members.join(shared, "band").select("band", "id", F.col("id").alias("label")), "bands")
     # only these are compared: from here on, no text that shares no band is moved
     ids = written(active.select("id").distinct(), "near-ids")
     near = written(texts.join(_small(ids), "id", "left_semi"), "near-texts")
-    discard(members, texts, ids)
+    discard(members, texts, ids, shared)
     links: list[DataFrame] = []
     label, stale = None, [active]
     for turn in range(rounds + 1):
         by = lambda side: F.xxhash64(F.lit(turn), side)
         if turn < rounds:
             lead = active.groupBy("band").agg(F.min_by(F.struct("id", "label"), by("id")).alias("p"), F.max_by(F.struct("id", "label"), by("id")).alias("q"))
+            lead = written(lead, "leads")
+            stale.append(lead)
             tried = active.join(lead, "band").select("id", "label", F.explode(F.array("p", "q")).alias("l"))
             tried = tried.where("label <> l.label").select(F.col("id").alias("a"), F.col("l.id").alias("b"))
         else:
@@ -328,9 +331,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             label = components(reduce(DataFrame.union, links))
             active = active.select("band", "id").join(label, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
         if turn < rounds:
-            mixed = active.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+            mixed = written(active.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band"), "mixed-bands")
             active = written(active.join(mixed, "band").select("band", "id", "label"), "bands")
-            discard(*stale)
+            discard(*stale, mixed)
             stale = [active]
             if active.isEmpty():
                 break

@@ -128,7 +128,7 @@ class Crf:
 class Scorer(dict):
     """Token -> log odds of its features, of a bounded number of tokens, for batches of whole texts."""
 
-    def __init__(self, model: Crf, max_words: int = 250_000):
+    def __init__(self, model: Crf, max_words: int = 120_000):
         super().__init__()
         self.model, self.max_words = model, max_words
 
@@ -222,8 +222,8 @@ def score(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "
         scorer = Scorer(shared.value)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                rows = batch.slice(k, 1024)
+            for k in range(0, batch.num_rows, 512):
+                rows = batch.slice(k, 512)
                 texts = [t or "" for t in rows.column(1).to_pylist()]
                 probabilities = scorer.probabilities(texts)
                 scores = [scorer.score(p) for p in probabilities]

@@ -52,24 +52,19 @@ def bucket_of(hashes: np.ndarray) -> np.ndarray:
 
 
 class Weights:
-    """Weights of a text's shingles: the count there times an inverse document frequency.
+    """Weights of a text's shingles, for sampling and similarity alike: the count there times an inverse document frequency.
 
-    Sampling takes ln(n / df), at least 0.1, so a passage that many documents share hardly makes two of them candidates. Similarity takes
-    1 + ln(n / df) / ln n, between 1 and 2, so the many copies of one text, which lower the weight of all that they share, stay similar.
+    That is 1 + ln(n / df) / ln n, between 1 and 2, so the many copies of one text, which lower the weight of all that they share, stay similar.
     """
 
     def __init__(self, frequencies: np.ndarray, n_docs: int):
         log = np.log((n_docs + 1.0) / (np.minimum(frequencies, n_docs) + 1.0))
-        self.idf, self.sampling_idf = 1.0 + log / np.log(n_docs + 2.0), np.maximum(log, 0.1)
+        self.idf = 1.0 + log / np.log(n_docs + 2.0)
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         h, n = shingles(text)
         return h, n * self.idf[bucket_of(h)]
 
-    def for_sampling(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        h, n = shingles(text)
-        return h, n * self.sampling_idf[bucket_of(h)]
-
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Sum of smaller weights by sum of larger ones; 0 where both have none."""
@@ -290,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             ids, got = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = w.for_sampling(text)
+                x = w.of(text)
                 if len(x[0]):
                     ids.append(i)
                     got.append(sampler.bands(*x))

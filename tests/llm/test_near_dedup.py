@@ -63,6 +63,26 @@ def test_equals_all_pairs(spark, rounds, small, block, monkeypatch):
         assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == {min(v) for v in by.values()}
 
 
+@pytest.mark.parametrize("others", [100])
+def test_copies_of_a_large_group_meet_their_base(spark, others):
+    """100 edited copies of one base, a half of all texts; copies are similar to the base but not to each other."""
+    rng = random.Random(others)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    base = [word() for _ in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 101):
+        text = list(base)
+        for k in rng.sample(range(5, 395), 5):
+            text[k] = word()
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, " ".join(word() for _ in range(60))) for i in range(others)]
+    classes = {i: c for i, c, _ in brute(rows)}
+    near = [i for i in range(1, 101) if classes[i] == 0]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0).collect()}
+    assert len(near) > 90 and sum(got[i] == 0 for i in near) >= 0.98 * len(near)
+    assert all(got[i] == i for i, c in classes.items() if i == c)
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     sampler, w = Sampler(), Weights(np.zeros(BUCKETS, np.int64), 10)
     rng = random.Random(1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bytelake.sources.classes import ClassTables, python_rows
 
-NODES = "class_id string, method int, node int, parent int, role string, ord int, kind string, text string, type string, pc int"
+NODES = "class_id string, method int, node int, parent int, role string, ord int, kind string, text string, type string, pc int, block int"
 LOCALS = "class_id string, method int, pc int, slot int, name string, type string"
 
 
@@ -38,8 +38,8 @@ def _per_class(t: ClassTables, rows_of, schema: str) -> DataFrame:
 
 
 def ast_nodes(t: ClassTables) -> DataFrame:
-    """(class_id, method, node, parent, role, ord, kind, text, type, pc): one row per statement (role `stmt`, or `head` in a for) and expression (`expr`), numbered from 0 within the method in order of the text;
-    parent -1 is the method. ord is the place among its siblings. Methods without a structure have no rows."""
+    """(class_id, method, node, parent, role, ord, kind, text, type, pc, block): one row per statement (role `stmt`, or `head` in a for) and expression (`expr`), numbered from 0 within the method in order of the text;
+    parent -1 is the method. ord is the place among its siblings; block numbers the blocks of the parent that hold statements (null for others). Methods without a structure have no rows."""
 
     def rows_of(result) -> list[tuple]:
         if not result.structured:
@@ -48,19 +48,19 @@ def ast_nodes(t: ClassTables) -> DataFrame:
 
         def expr(e, parent, k):
             n = len(out)
-            out.append((n, parent, "expr", k, e.kind, e.text or None, e.type, None))
+            out.append((n, parent, "expr", k, e.kind, e.text or None, e.type, None, None))
             for j, a in enumerate(e.args):
                 expr(a, n, j)
 
-        def stmt(s, parent, k, role="stmt"):
+        def stmt(s, parent, k, role="stmt", block=0):
             n = len(out)
-            out.append((n, parent, role, k, s.kind, s.text or None, s.more if s.kind in ("declare", "foreach") else None, s.pc if s.pc >= 0 else None))
+            out.append((n, parent, role, k, s.kind, s.text or None, s.more if s.kind in ("declare", "foreach") else None, s.pc if s.pc >= 0 else None, block if role == "stmt" else None))
             for j, e in enumerate(s.exprs):
                 expr(e, n, j)
             for j, x in enumerate(s.more if s.kind == "for" else []):
                 stmt(x, n, j, "head")
-            for j, x in enumerate(x for b in s.blocks for x in b):
-                stmt(x, n, j)
+            for j, (b, x) in enumerate((b, x) for b, inside in enumerate(s.blocks) for x in inside):
+                stmt(x, n, j, block=b)
 
         for k, s in enumerate(result.block):
             stmt(s, -1, k)
@@ -103,6 +103,6 @@ def assignment_counts(nodes: DataFrame) -> DataFrame:
 
 def after_return(nodes: DataFrame) -> DataFrame:
     """Statements that stand behind a return, throw, break or continue of their block: there should be none."""
-    w = Window.partitionBy("class_id", "method", "parent").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("class_id", "method", "parent", "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     rows = nodes.where("role = 'stmt'").withColumn("ended", F.max(F.col("kind").isin("return", "throw", "break", "continue").cast("int")).over(w))
-    return rows.where("ended = 1 AND parent = -1").drop("ended")
+    return rows.where("ended = 1").drop("ended")

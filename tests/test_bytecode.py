@@ -214,6 +214,12 @@ def test_trees(jar):
     assert trees.condition_names(nodes).count() > 20 and trees.assignment_counts(nodes).count() > 300
 
 
+def test_statements_behind_the_end_of_inner_blocks(spark):
+    rows = [(0, -1, 0, "if", 0), (1, 0, 0, "return", 0), (2, 0, 1, "expr", 1), (3, 0, 2, "break", 1), (4, 0, 3, "expr", 1), (5, -1, 1, "return", 0)]
+    nodes = spark.createDataFrame([("C", 0, n, p, "stmt", k, kind, None, None, None, b) for n, p, k, kind, b in rows], trees.NODES)
+    assert [r.node for r in trees.after_return(nodes).collect()] == [4]
+
+
 def test_paths_that_differ_by_case(spark):
     rows = [("1", "", "F.java", "F", "class F { F f = new F(); }"), ("2", "", "f.java", "f", "class f { f x = new f(); }"), ("3", "", "Plain.java", "Plain", "class Plain { f y; }"), ("4", "", "f_0.java", "f_0", "class f_0 {}")]
     found = spark.createDataFrame([(*r, 0, 0, None) for r in rows], sources.SOURCES)

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bytelake.operators.graph import closure
+from bytelake.operators.store import written
 from bytelake.sources.classes import ClassTables, python_rows
 
 NODES = "class_id string, method int, node int, parent int, role string, ord int, kind string, text string, type string, pc int, block int"
@@ -83,13 +85,13 @@ def final_local_types(locals_: DataFrame) -> DataFrame:
 def condition_names(nodes: DataFrame) -> DataFrame:
     """(class_id, method, name): variables that are a condition, or an operand of its logic, by themselves: they are booleans."""
     key = ["class_id", "method"]
-    heads = nodes.where("role <> 'expr' AND kind IN ('if', 'while', 'dowhile', 'for')").select(*key, F.col("node").alias("parent"))
-    tops = nodes.where("role = 'expr'").join(heads, [*key, "parent"]).select(*key, "node", "kind", "text")
-    found = tops
-    for _ in range(2):  # the logic inside, two levels deep
-        inner = found.where("kind IN ('bin', 'not') AND coalesce(text, '!') IN ('&&', '||', '!')").select(*key, F.col("node").alias("parent"))
-        found = found.union(nodes.join(inner, [*key, "parent"]).select(*key, "node", "kind", "text"))
-    return found.where("kind = 'var'").select(*key, F.col("text").alias("name")).distinct()
+    mine = written(nodes.select(*key, "node", "parent", "role", "kind", "text"), "nodes")
+    heads = mine.where("role <> 'expr' AND kind IN ('if', 'while', 'dowhile', 'for')").select(*key, F.col("node").alias("parent"))
+    tops = mine.where("role = 'expr'").join(heads, [*key, "parent"]).select(*key, "node")
+    logic = mine.where("kind IN ('bin', 'not') AND coalesce(text, '!') IN ('&&', '||', '!')").select(*key, F.col("node").alias("parent"))
+    edges = mine.join(logic, [*key, "parent"]).select(*key, F.col("parent").alias("a"), F.col("node").alias("b"))
+    found = closure(edges, tops, key, key)
+    return mine.where("kind = 'var'").join(found, [*key, "node"], "left_semi").select(*key, F.col("text").alias("name")).distinct()
 
 
 def assignment_counts(nodes: DataFrame) -> DataFrame:

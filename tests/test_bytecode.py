@@ -214,6 +214,15 @@ def test_trees(jar):
     assert trees.condition_names(nodes).count() > 20 and trees.assignment_counts(nodes).count() > 300
 
 
+def test_names_deep_in_conditions(spark):
+    # if ((((a && b) && c) && d) && !e), and f == g, which is no logic
+    rows = [(0, -1, "stmt", 0, "if", None), (1, 0, "expr", 0, "bin", "&&"), (2, 1, "expr", 0, "bin", "&&"), (3, 2, "expr", 0, "bin", "&&"), (4, 3, "expr", 0, "bin", "&&")]
+    rows += [(5, 4, "expr", 0, "var", "a"), (6, 4, "expr", 1, "var", "b"), (7, 3, "expr", 1, "var", "c"), (8, 2, "expr", 1, "var", "d"), (9, 1, "expr", 1, "not", None), (10, 9, "expr", 0, "var", "e")]
+    rows += [(11, -1, "stmt", 1, "while", None), (12, 11, "expr", 0, "bin", "=="), (13, 12, "expr", 0, "var", "f"), (14, 12, "expr", 1, "var", "g")]
+    nodes = spark.createDataFrame([("C", 0, *r, None, None, None) for r in rows], trees.NODES)
+    assert {r.name for r in trees.condition_names(nodes).collect()} == set("abcde")
+
+
 def test_statements_behind_the_end_of_inner_blocks(spark):
     rows = [(0, -1, 0, "if", 0), (1, 0, 0, "return", 0), (2, 0, 1, "expr", 1), (3, 0, 2, "break", 1), (4, 0, 3, "expr", 1), (5, -1, 1, "return", 0)]
     nodes = spark.createDataFrame([("C", 0, n, p, "stmt", k, kind, None, None, None, b) for n, p, k, kind, b in rows], trees.NODES)

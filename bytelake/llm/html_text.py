@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,13 +41,15 @@ ENDS = {
 }
 #: End tags do not close an element beyond these.
 SCOPE = frozenset("table td th caption html button object template".split())
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+#: Quotes open a value only behind an equals sign; elsewhere they are part of a name or of an unquoted value.
+_TOKEN = re.compile(
+    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?)?+)*+)(?:>|\Z)",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+))?)?+")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
-#: Elements deeper than this are laid out as if they were there.
-DEPTH = 200
 
 
 class Node:
@@ -66,22 +70,30 @@ def parse(page: str) -> Node:
     """The page's tree. Unknown end tags are dropped, open elements end with the page, and start tags imply the ends and parents that the standard's tree builder gives them."""
     root = Node("html")
     stack = [root]
+    # elements are numbered as they open; of each tag, the numbers of its open elements, so none is sought through a deep stack
+    numbers, opened, n = [0], defaultdict(list), 0
     at = 0
 
+    def last(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
+    def pop() -> Node:
+        numbers.pop()
+        opened[stack[-1].tag].pop()
+        return stack.pop()
+
     def text(s: str) -> None:
         if s:
             stack[-1].children.append(html.unescape(s))
 
     def end(names, boundary) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return end(names, boundary)
-            if stack[k].tag in boundary:
-                return None
-        return None
+        beyond = last(boundary)
+        while (k := last(names)) > beyond:
+            while numbers[-1] >= k:
+                pop()
 
     def start(tag: str, attributes: dict[str, str]) -> None:
+        nonlocal n
         if tag == "html":
             root.attributes |= {k: v for k, v in attributes.items() if k not in root.attributes}
             return
@@ -95,16 +107,19 @@ def parse(page: str) -> Node:
         elif tag in ("td", "th") and top in ("table", "thead", "tbody", "tfoot"):
             start("tr", {})
         if top == "head" and tag not in HIDDEN and tag not in ("base", "meta", "link"):
-            stack.pop()
+            pop()
         node = Node(tag, attributes)
         stack[-1].children.append(node)
-        if tag not in VOID and len(stack) < DEPTH:
+        if tag not in VOID:
+            n += 1
             stack.append(node)
+            numbers.append(n)
+            opened[tag].append(n)
 
     while (m := _TOKEN.search(page, at)) is not None:
         if m.start() > at:
             if stack[-1].tag == "head" and page[at : m.start()].strip():
-                stack.pop()
+                pop()
             text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
@@ -113,26 +128,26 @@ def parse(page: str) -> Node:
         if m[1]:
             if tag == "br":
                 start("br", {})
-            elif tag == "p" and not any(n.tag == "p" for n in stack):
+            elif tag == "p" and not opened["p"]:
                 start("p", {})
-                stack.pop()
+                pop()
             else:
                 scope = {"table"} if tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else SCOPE - {tag}
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        if tag in FORMATTING:  # blocks opened inside of it go on
-                            del stack[k]
-                        else:
-                            del stack[k:]
-                        break
-                    if stack[k].tag in scope and tag != "table" and tag not in ("body",):
-                        break
+                k = last((tag,))
+                if k > (0 if tag in ("table", "body") else last(scope)):
+                    if tag in FORMATTING:  # blocks opened inside of it go on
+                        opened[tag].pop()
+                        place = bisect_left(numbers, k)
+                        del stack[place], numbers[place]
+                    else:
+                        while numbers[-1] >= k:
+                            pop()
             continue
         start(tag, _attributes(m[3]) if "=" in m[3] or " " in m[3] or "\n" in m[3] else {})
         if tag in RAW and stack[-1].tag == tag:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             raw = page[at : close.start()]
-            stack.pop().children.append(html.unescape(raw) if tag in ("title", "textarea") else raw)
+            pop().children.append(html.unescape(raw) if tag in ("title", "textarea") else raw)
             at = close.end()
     text(page[at:])
     return root
@@ -192,10 +207,25 @@ class _Page:
         return self.lines
 
 
-def _lines(node: Node) -> list[str]:
+def _run(job: Generator):
+    """The result of a generator that yields generators for their results: recursion with a stack of its own, so pages may be of any depth."""
+    jobs, value = [job], None
+    while jobs:
+        try:
+            inner = jobs[-1].send(value)
+        except StopIteration as done:
+            jobs.pop()
+            value = done.value
+        else:
+            jobs.append(inner)
+            value = None
+    return value
+
+
+def _lines(node: Node) -> Generator:
     page = _Page()
     for child in node.children:
-        _lay(child, page, node)
+        yield _lay(child, page, node)
     return page.out()
 
 
@@ -204,7 +234,7 @@ def _indented(page: _Page, lines: list[str], first: str, rest: str) -> None:
         page.put(((first if k == 0 else rest) + line) if line or k == 0 else "")
 
 
-def _lay(node: Node | str, page: _Page, parent: Node, pre: bool = False) -> None:
+def _lay(node: Node | str, page: _Page, parent: Node, pre: bool = False) -> Generator:
     if isinstance(node, str):
         (page.verbatim if pre else page.inline)(node)
         return
@@ -230,19 +260,19 @@ def _lay(node: Node | str, page: _Page, parent: Node, pre: bool = False) -> None
             mark = f"{number}. "
         else:
             mark = "* "
-        _indented(page, _lines(node), mark, " " * len(mark))
+        _indented(page, (yield _lines(node)), mark, " " * len(mark))
     elif tag in ("dd", "blockquote"):
         page.block(tag in SPACED)
-        _indented(page, _lines(node), "  ", "  ")
+        _indented(page, (yield _lines(node)), "  ", "  ")
         page.block(tag in SPACED)
     elif tag == "table":
         page.block(True)
-        for line in _table(node):
+        for line in (yield _table(node)):
             page.put(line)
         page.block(True)
     elif tag == "q":
         page.inline('"')
-        _children(node, page, pre)
+        yield _children(node, page, pre)
         page.line += '"'
     else:
         block = tag in BLOCK
@@ -250,27 +280,27 @@ def _lay(node: Node | str, page: _Page, parent: Node, pre: bool = False) -> None
         spaced = tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and parent.tag in ("li", "ul", "ol"))
         if block:
             page.block(spaced)
-        _children(node, page, pre or tag in ("pre", "listing", "xmp"))
+        yield _children(node, page, pre or tag in ("pre", "listing", "xmp"))
         if block:
             page.block(spaced)
         elif tag in ("td", "th"):  # outside of a table
             page.gap = True
 
 
-def _children(node: Node, page: _Page, pre: bool) -> None:
+def _children(node: Node, page: _Page, pre: bool) -> Generator:
     for k, child in enumerate(node.children):
         if k == 0 and node.tag in ("pre", "listing") and isinstance(child, str):
             child = child.removeprefix("\r").removeprefix("\n")
-        _lay(child, page, node, pre)
+        yield _lay(child, page, node, pre)
 
 
 def _number(text: str | None, otherwise: int) -> int:
     return int(text) if text and re.fullmatch(r"\s*[+-]?[0-9]{1,9}\s*", text) else otherwise
 
 
-def _table(table: Node) -> list[str]:
+def _table(table: Node) -> Generator:
     """The caption, then the rows with their cells' lines side by side, each column as wide as its widest line. Cells that span columns or rows take their place and widen none; what stands outside of cells comes first."""
-    caption, rows, loose = [], {"thead": [], "tbody": [], "tfoot": []}, Node("div")
+    captions, rows, loose = [], {"thead": [], "tbody": [], "tfoot": []}, Node("div")
 
     def gather(node: Node, section: str) -> None:
         for c in node.children:
@@ -284,7 +314,7 @@ def _table(table: Node) -> list[str]:
             elif c.tag == "tr":
                 rows[section].append(c)
             elif c.tag == "caption":
-                caption.extend(_lines(c))
+                captions.append(c)
             elif c.tag not in ("colgroup", "col"):
                 loose.children.append(c)
 
@@ -305,7 +335,7 @@ def _table(table: Node) -> list[str]:
             wide = min(1000, max(1, _number(c.attributes.get("colspan"), 1)))
             for k in range(1, min(1000, max(1, _number(c.attributes.get("rowspan"), 1)))):
                 taken.update(((y + k, x + j), True) for j in range(wide))
-            cells.append((x, wide, _lines(c)))
+            cells.append((x, wide, (yield _lines(c))))
             x += wide
         grid.append(cells)
     widths: dict[int, int] = {}
@@ -317,7 +347,9 @@ def _table(table: Node) -> list[str]:
     for x in range(max((x + wide for cells in grid for x, wide, _ in cells), default=0) + 1):
         starts[x] = at
         at += widths[x] + 2 if widths.get(x) else 0
-    out = _lines(loose) + caption
+    out = yield _lines(loose)
+    for c in captions:
+        out += yield _lines(c)
     for cells in grid:
         for k in range(max((len(lines) for _, _, lines in cells), default=0)):
             line = ""
@@ -331,7 +363,7 @@ def _table(table: Node) -> list[str]:
 
 def render(page: str | None) -> str:
     """All visible text of a page. Null or empty pages give the empty text."""
-    return "\n".join(_lines(parse((page or "").replace("\x00", ""))))
+    return "\n".join(_run(_lines(parse((page or "").replace("\x00", "")))))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -47,6 +47,20 @@ def test_deep_and_long():
     assert render("<ul><li>" * 3000 + "x").strip(" *\n") == "x"
 
 
+@pytest.mark.parametrize("open_", ["<div>", "<span>", "<font color=red>"])
+def test_deep_pages_are_as_shallow_ones(open_):
+    deep = open_ * 250
+    assert render(deep + "a<script>var x = '<p>code';</script><style>p{}</style>b") == "ab"
+    assert render(deep + "a<b hidden>gone<i>gone</i></b><i style='display:none'>gone</i><template>gone</template>b") == "ab"
+    assert render(deep + "<ul><li>x<li>y</ul><table><tr><td>c<td>d</table>") == "* x\n* y\n\nc  d"
+    assert render("<section hidden>" + deep + "<u>gone</u></font></u>gone</section>seen") == "seen"
+
+
+def test_stray_quotes():
+    assert render('<div class=foo">text</div> <p id="a" "b>more</p>') == "text\n\nmore"
+    assert render("<b title=it's>one</b> two <a href = 'x>y' data=x\"hidden\">three</a>") == "one two three"
+
+
 def test_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a<p>b", 0), (None, None, None, 0), (1, "u", "<p>a<p>b", 0)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, extract(pages).collect()), key=str) == [(1, "a\n\nb", 4, 3), (1, "a\n\nb", 4, 3), (None, "", 0, 0)]

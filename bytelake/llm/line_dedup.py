@@ -20,8 +20,8 @@ def _ascii_lower(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with shared lines dropped: text_col is the kept text; new columns __n_lines and __n_dropped, in the place of any that are called so.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, counts: tuple[str, str] | None = None) -> DataFrame:
+    """docs with shared lines dropped: text_col is the kept text. counts: names of two more columns, the lines before and those that were dropped; docs must not have them.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. A key of at
     least min_chars code points that at least min_docs distinct documents hold loses all its lines but those of
@@ -35,6 +35,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines share is counted by partial aggregates; in the join back, it is a skewed
     partition that AQE splits.
     """
+    if clash := {c.lower() for c in counts or ()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns exist already: {sorted(clash)}")
     p = prefix(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.withColumn(f"{p}text", text).withColumn(f"{p}th", F.xxhash64(f"{p}text"))
@@ -53,5 +55,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = both.withColumn(f"{p}lines", _lines(F.col(f"{p}text")))
     left = F.array_except(F.sequence(F.lit(0), F.size(f"{p}lines") - 1), F.col(f"{p}gone"))
     kept = F.when(F.col(f"{p}gone").isNull(), F.col(f"{p}text")).otherwise(F.array_join(F.transform(left, lambda k: F.get(f"{p}lines", k)), "\n"))
-    counts = {"__n_lines": F.size(f"{p}lines"), "__n_dropped": F.coalesce(F.size(f"{p}gone"), F.lit(0))}
-    return both.select(*[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in counts], *[c.cast("long").alias(name) for name, c in counts.items()])
+    added = zip(counts or (), (F.size(f"{p}lines"), F.coalesce(F.size(f"{p}gone"), F.lit(0))), strict=False)
+    return both.select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *[c.cast("long").alias(name) for name, c in added])

@@ -30,8 +30,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bytelake.llm.line_dedup import dedup_lines
 
-    kept = dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    kept = dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_dropped"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

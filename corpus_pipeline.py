@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that three of them share, but for one copy of each; n_chars is that of the new text. No document goes."""
-    kept = dedup_lines(docs).drop("__n_lines", "__n_dropped")
+    kept = dedup_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 

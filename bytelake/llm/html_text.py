@@ -49,14 +49,26 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+))?)?+")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+#: Columns and rows that a cell spans at most (fixed values of the standard).
+WIDEST, HIGHEST = 1000, 65534
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "numbers", "tag")
 
     def __init__(self, tag: str, attributes: dict[str, str] | None = None):
-        self.tag, self.attributes, self.children = tag, attributes or {}, []
+        self.tag, self.attributes, self.children, self.numbers = tag, attributes or {}, [], None
+
+    def number_of(self, item: Node) -> int:
+        """The number of an item of this ordered list; all are counted at once."""
+        if self.numbers is None:
+            self.numbers, number = {}, _number(self.attributes.get("start"), 1)
+            for c in self.children:
+                if isinstance(c, Node) and c.tag == "li" and visible(c):
+                    self.numbers[id(c)] = number = _number(c.attributes.get("value"), number)
+                    number += 1
+        return self.numbers[id(item)]
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -165,25 +177,30 @@ class _Page:
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line, self.gap, self.blank = "", False, False
+        self.line: list[str] = []  # pieces, none of them empty
+        self.gap, self.blank = False, False
 
     def inline(self, text: str) -> None:
         for k, part in enumerate(_SPACE.split(text)):
             self.gap = self.gap or k > 0
             if part:
-                self.line += (" " if self.gap and self.line else "") + part
+                if self.gap and self.line:
+                    self.line.append(" ")
+                self.line.append(part)
                 self.gap = False
 
     def verbatim(self, text: str) -> None:
         first, *rest = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-        self.line += first
+        if first:
+            self.line.append(first)
         for x in rest:
             self.new_line()
-            self.line = x
+            if x:
+                self.line.append(x)
 
     def new_line(self) -> None:
-        self.put(self.line)
-        self.line, self.gap = "", False
+        self.put("".join(self.line))
+        self.line, self.gap = [], False
 
     def put(self, line: str) -> None:
         if self.blank and self.lines:
@@ -202,9 +219,8 @@ class _Page:
         self.block(False)
         while self.lines and not self.lines[-1]:
             self.lines.pop()
-        while self.lines and not self.lines[0]:
-            self.lines.pop(0)
-        return self.lines
+        first = next((k for k, line in enumerate(self.lines) if line), 0)
+        return self.lines[first:]
 
 
 def _run(job: Generator):
@@ -250,14 +266,7 @@ def _lay(node: Node | str, page: _Page, parent: Node, pre: bool = False) -> Gene
     elif tag == "li":
         page.block(False)
         if parent.tag == "ol":
-            items = [c for c in parent.children if isinstance(c, Node) and c.tag == "li" and visible(c)]
-            number = _number(parent.attributes.get("start"), 1)
-            for c in items:
-                number = _number(c.attributes.get("value"), number)
-                if c is node:
-                    break
-                number += 1
-            mark = f"{number}. "
+            mark = f"{parent.number_of(node)}. "
         else:
             mark = "* "
         _indented(page, (yield _lines(node)), mark, " " * len(mark))
@@ -273,7 +282,7 @@ def _lay(node: Node | str, page: _Page, parent: Node, pre: bool = False) -> Gene
     elif tag == "q":
         page.inline('"')
         yield _children(node, page, pre)
-        page.line += '"'
+        page.line.append('"')
     else:
         block = tag in BLOCK
         # a list inside a list's item, or inside another, keeps close to it
@@ -320,7 +329,7 @@ def _table(table: Node) -> Generator:
 
     gather(table, "tbody")
     grid: list[list[tuple[int, int, list[str]]]] = []
-    taken: dict[tuple[int, int], bool] = {}
+    free: list[int] = []  # for each column, the first row that no cell from above reaches
     for y, row in enumerate(rows["thead"] + rows["tbody"] + rows["tfoot"]):
         x, cells = 0, []
         for c in row.children:
@@ -330,11 +339,13 @@ def _table(table: Node) -> Generator:
                 continue
             if not visible(c):
                 continue
-            while (y, x) in taken:
+            while x < len(free) and free[x] > y:
                 x += 1
-            wide = min(1000, max(1, _number(c.attributes.get("colspan"), 1)))
-            for k in range(1, min(1000, max(1, _number(c.attributes.get("rowspan"), 1)))):
-                taken.update(((y + k, x + j), True) for j in range(wide))
+            wide = min(WIDEST, max(1, _number(c.attributes.get("colspan"), 1)))
+            high = min(HIGHEST, max(1, _number(c.attributes.get("rowspan"), 1)))
+            if high > 1:
+                free += [0] * (x + wide - len(free))
+                free[x : x + wide] = [max(y + high, f) for f in free[x : x + wide]]
             cells.append((x, wide, (yield _lines(c))))
             x += wide
         grid.append(cells)
@@ -343,21 +354,24 @@ def _table(table: Node) -> Generator:
         for x, wide, lines in cells:
             if wide == 1:
                 widths[x] = max([widths.get(x, 0), *map(len, lines)])
-    starts, at = {}, 0
-    for x in range(max((x + wide for cells in grid for x, wide, _ in cells), default=0) + 1):
+    starts, at, left = {}, 0, sorted(x for x, w in widths.items() if w)[::-1]
+    for x in sorted({x for cells in grid for x, _, _ in cells}):
+        while left and left[-1] < x:
+            at += widths[left.pop()] + 2
         starts[x] = at
-        at += widths[x] + 2 if widths.get(x) else 0
     out = yield _lines(loose)
     for c in captions:
         out += yield _lines(c)
     for cells in grid:
-        for k in range(max((len(lines) for _, _, lines in cells), default=0)):
-            line = ""
-            for x, _, lines in cells:
-                if k < len(lines) and lines[k]:
-                    line = line.ljust(starts[x]) if len(line) < starts[x] or not line else line + "  "
-                    line += lines[k]
-            out.append(line.rstrip())
+        cells = [(x, lines) for x, _, lines in cells if lines]
+        for k in range(max((len(lines) for _, lines in cells), default=0)):
+            pieces, size, cells = [], 0, [c for c in cells if len(c[1]) > k]
+            for x, lines in cells:
+                if lines[k]:
+                    gap = starts[x] - size if size < starts[x] or not size else 2
+                    pieces += [" " * gap, lines[k]]
+                    size += gap + len(lines[k])
+            out.append("".join(pieces).rstrip())
     return out
 
 

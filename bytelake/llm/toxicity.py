@@ -179,7 +179,8 @@ def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[tuple[int, int,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 1500, max_chars: int = 100_000) -> Crf:
-    """Fit the field on at most max_docs labelled documents of each label, of at most max_chars each, chosen by a hash of the id.
+    """Fit the field on at most max_docs labelled documents of each label, of at most max_chars each, chosen by a hash of the id among the labelled documents that docs has:
+    labels of others play no part.
 
     Document labels say which texts are toxic, not where. A token is tagged toxic in a toxic text if its share of toxic texts is over twenty times
     that of clean ones and at least one in two hundred toxic texts (or three) has it. A conflict of labels counts as toxic; null labels and ids are left out.
@@ -187,7 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__lid")).agg(F.max(label_col).alias("__y"))
     eligible = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).where(F.length("__text") <= max_chars)
-    chosen = [known.where(F.col("__y") == y).orderBy(F.xxhash64("__lid"), "__lid").limit(max_docs) for y in (0, 1)]
+    held = eligible.select("__id").join(known, F.col("__id") == F.col("__lid")).select("__lid", "__y").distinct()
+    chosen = [held.where(F.col("__y") == y).orderBy(F.xxhash64("__lid"), "__lid").limit(max_docs) for y in (0, 1)]
     rows = eligible.join(F.broadcast(chosen[0].union(chosen[1])), F.col("__id") == F.col("__lid")).select("__text", "__y").distinct().toArrow()
     return fit(rows.column(0).to_pylist(), rows.column(1).to_numpy().astype(np.int64))
 

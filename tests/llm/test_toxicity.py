@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import numpy as np
@@ -64,3 +65,41 @@ def test_one_label_or_none(spark):
 
 def test_lowered_keeps_length():
     assert len(T.lowered("İAÀß")) == 4 and T.lowered("ABÀ") == "abà"
+
+
+def slow_probability(model, text):
+    """A document's score token by token, in logarithms, from the weights alone."""
+    words = [w for w in T.re.split(r"\W+", T.lowered(text)) if w]
+    add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    e = [min(30.0, max(-30.0, sum(float(model.weights[f]) for f in T.features(w)))) for w in words]
+    forward = [[0.0, model.start + e[0]]] if e else []
+    for x in e[1:]:
+        f = forward[-1]
+        forward.append([add(f[0] + model.moves[0, t], f[1] + model.moves[1, t]) + t * x for t in (0, 1)])
+    backward = [[0.0, 0.0]] if e else []
+    for x in e[:0:-1]:
+        b = backward[0]
+        backward.insert(0, [add(model.moves[t, 0] + b[0], model.moves[t, 1] + x + b[1]) for t in (0, 1)])
+    p = []
+    for f, b in zip(forward, backward, strict=True):
+        p.append(1 / (1 + math.exp(min(700, f[0] + b[0] - f[1] - b[1]))))
+    top = min(1 - 1e-6, max([1e-6, *p]))
+    z = model.calibration @ [1.0, math.log(top / (1 - top)), math.log1p(sum(x for x in p if x > 0.5))]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_equal_a_slow_route(spark):
+    rows = made(300, 8) + [(500, "", 0), (501, "vile vile VILE " * 40, 1), (502, "one", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = T.train(docs, docs.select("doc_id", "toxic"))
+    got = {r.doc_id: r.score for r in T.score(docs, model).collect()}
+    assert all(math.isclose(got[i], slow_probability(model, t), rel_tol=1e-6, abs_tol=1e-9) for i, t, _ in rows)
+
+
+def test_labels_of_absent_documents_play_no_part(spark):
+    rows = made(200, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    absent = spark.range(1000, 60_000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    labels = docs.select("doc_id", "toxic")
+    one, two = T.train(docs, labels), T.train(docs, labels.union(absent))
+    assert np.array_equal(one.weights, two.weights) and np.array_equal(one.calibration, two.calibration) and one.weights.any()

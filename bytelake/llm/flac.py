@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -118,25 +119,58 @@ def lpc_residual(x: np.ndarray, coefficients: list[int], shift: int) -> np.ndarr
     return x[order:] - (guess >> shift)
 
 
+#: Taps of the encoder's own linear predictors, bits of their coefficients and the shift behind them.
+TAPS, PRECISION, SHIFT = 4, 15, 12
+
+
+def predictor(x: np.ndarray, taps: int = TAPS) -> list[int] | None:
+    """Quantised coefficients of the linear predictor of least squared error, from the autocorrelation; None where there is none."""
+    f = x.astype(float)
+    r = np.array([f[: len(f) - k] @ f[k:] for k in range(taps + 1)])
+    if r[0] <= 0:
+        return None
+    r[0] *= 1.0001  # keeps the equations regular
+    c = np.linalg.solve(r[np.abs(np.subtract.outer(np.arange(taps), np.arange(taps)))], r[1:])
+    q = np.rint(c * (1 << SHIFT))
+    return q.astype(np.int64).tolist() if np.abs(q).max() < 1 << (PRECISION - 1) else None
+
+
+def _about(residual: np.ndarray) -> int:
+    """Bits of the residual with the parameter that its mean suggests, to choose a predictor by."""
+    u = int(np.abs(residual).sum()) * 2
+    k = max(0, (u // len(residual)).bit_length() - 1) if len(residual) else 0
+    return (u >> k) + len(residual) * (k + 1)
+
+
 def _subframe(x: np.ndarray, depth: int, lpc: tuple[list[int], int] | None, partitions: int) -> np.ndarray:
-    """The shortest of constant, verbatim and fixed predictors, or the given linear predictor."""
+    """The shortest of constant, verbatim, fixed predictors and a linear one of TAPS taps (or the given linear predictor), by an estimate of their residuals' bits."""
     n = len(x)
     twos = lambda v, d=depth: ((v[:, None] >> np.arange(d - 1, -1, -1)) & 1).astype(np.uint8).ravel()
-    if lpc and n > len(lpc[0]):
-        order = len(lpc[0])
-        head = [_bits(0b01000000 | (order - 1) << 1, 8), twos(x[:order]), _bits(14, 4), _bits(lpc[1], 5), twos(np.array(lpc[0], np.int64), 15)]
-        return np.concatenate([*head, _residual_bits(lpc_residual(x, *lpc), n, order, partitions)])
-    if (x == x[0]).all():
+    if not lpc and (x == x[0]).all():
         return np.concatenate([_bits(0, 8), twos(x[:1])])
-    sizes = [(_best_rice(_predicted(x, o))[0] + o * depth + 10, o) for o in range(min(3, n))]
-    bits, order = min(sizes)
-    if bits >= n * depth:
+    fixed, bits, order = x, n * depth, -1  # no order: verbatim
+    best = fixed
+    if not lpc:
+        for o in range(min(5, n)):
+            fixed = np.diff(fixed) if o else x
+            size = _about(fixed) + o * depth + 10
+            if size < bits:
+                bits, order, best = size, o, fixed
+            elif o > max(order, 1):
+                break  # longer ones only get worse
+    found = lpc or (n > 4 * TAPS and (q := predictor(x)) is not None and (q, SHIFT)) or None
+    if found and n > len(found[0]):
+        taps, residual = len(found[0]), lpc_residual(x, *found)
+        if lpc or _about(residual) + taps * (depth + PRECISION) + 19 < bits:
+            head = [_bits(0b01000000 | (taps - 1) << 1, 8), twos(x[:taps]), _bits(PRECISION - 1, 4), _bits(found[1], 5), twos(np.array(found[0], np.int64), PRECISION)]
+            return np.concatenate([*head, _residual_bits(residual, n, taps, partitions if n % (1 << partitions) == 0 and n >> partitions > taps else 0)])
+    if order < 0:
         return np.concatenate([_bits(0b00000010, 8), twos(x)])
-    return np.concatenate([_bits((0b001000 | order) << 1, 8), twos(x[:order]), _residual_bits(_predicted(x, order), n, order, partitions if n % (1 << partitions) == 0 and n >> partitions > order else 0)])
+    return np.concatenate([_bits((0b001000 | order) << 1, 8), twos(x[:order]), _residual_bits(best, n, order, partitions if n % (1 << partitions) == 0 and n >> partitions > order else 0)])
 
 
 def encode(samples: np.ndarray, depth: int = 8, rate: int = RATE, block: int = BLOCK, lpc: tuple[list[int], int] | None = None, partitions: int = 0) -> bytes:
-    """One channel of signed samples of 8 bits (or 16) as a FLAC stream. lpc: coefficients and shift of a linear predictor to use throughout."""
+    """One channel of signed samples of 8 bits (or 16) as a FLAC stream, with a seek table of all its frames. lpc: coefficients and shift of a linear predictor to use throughout."""
     x = np.asarray(samples, np.int64)
     pcm = x.astype("<i1" if depth == 8 else "<i2").tobytes()
     code = {v: k for k, v in DEPTHS.items()}[depth]
@@ -151,7 +185,9 @@ def encode(samples: np.ndarray, depth: int = 8, rate: int = RATE, block: int = B
     lengths = [len(f) for f in frames] or [0]
     info = max(16, block).to_bytes(2, "big") * 2 + min(lengths).to_bytes(3, "big") + max(lengths).to_bytes(3, "big")
     info += (rate << 44 | (depth - 1) << 36 | len(x)).to_bytes(8, "big") + hashlib.md5(pcm).digest()
-    return b"fLaC" + b"\x80" + len(info).to_bytes(3, "big") + info + b"".join(frames)
+    places = [0, *itertools.accumulate(lengths[:-1])]
+    points = b"".join((k * block).to_bytes(8, "big") + p.to_bytes(8, "big") + min(block, len(x) - k * block).to_bytes(2, "big") for k, p in enumerate(places)) if frames else b""
+    return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(points).to_bytes(3, "big") + points + b"".join(frames)
 
 
 class _Reader:
@@ -269,79 +305,198 @@ def _decode_subframe(r: _Reader, n: int, depth: int) -> np.ndarray:
         x = _restored(_residual(r, n, kind - 8), warm)
     elif kind >= 32:
         order = kind - 31
-        warm = r.numbers(order, depth).tolist()
+        warm = r.numbers(order, depth)
         precision, shift = r.number(4) + 1, r.number(5, signed=True)
         if precision == 16 or shift < 0:
             raise Corrupt("a predictor's precision or shift is out of range")
-        taps = r.numbers(order, precision).tolist()
-        for e in _residual(r, n, order).tolist():
-            warm.append(e + (sum(c * v for c, v in zip(taps, reversed(warm[-order:]), strict=True)) >> shift))
-        x = np.array(warm, np.int64)
+        taps = r.numbers(order, precision)
+        return Predicted(warm, taps, shift, _residual(r, n, order), wasted)
     else:
         raise Corrupt("a reserved kind of subframe")
     return x << wasted
 
 
+@dataclass
+class Predicted:
+    """A subframe of a linear predictor, before its samples are summed up."""
+
+    warm: np.ndarray
+    taps: np.ndarray
+    shift: int
+    residual: np.ndarray
+    wasted: int
+
+
+def restored(parts: list[Predicted]) -> list[np.ndarray]:
+    """Samples of subframes of linear predictors. A sample needs those before it, so all subframes are summed up side by side, the longest first, one step of all at a time."""
+    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(parts)
+    for order in sorted({len(p.taps) for p in parts}):
+        mine = sorted((k for k, p in enumerate(parts) if len(p.taps) == order), key=lambda k: -len(parts[k].residual))
+        lengths = np.array([len(parts[k].residual) for k in mine])
+        steps = int(lengths[0])
+        active = np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()
+        x = np.zeros((order + steps, len(mine)), np.int64)
+        taps, shift = np.empty((order, len(mine)), np.int64), np.array([parts[k].shift for k in mine])
+        for j, k in enumerate(mine):
+            p = parts[k]
+            x[:order, j], taps[:, j] = p.warm, p.taps[::-1]
+            x[order : order + len(p.residual), j] = p.residual
+        for t, a in enumerate(active):
+            x[t + order, :a] += (taps[:, :a] * x[t : t + order, :a]).sum(axis=0) >> shift[:a]
+        for j, k in enumerate(mine):
+            out[k] = x[: order + lengths[j], j] << parts[k].wasted
+    return out
+
+
 @dataclass
 class Block:
     offset: int
     samples: np.ndarray  # (channels, samples)
 
 
-def decode(data: bytes, check: bool = True) -> Iterator[Block]:
-    """Blocks of samples with the offset of their first one. Header and frame checksums, the number of samples and the MD5 of all are verified; errors raise Corrupt."""
+@dataclass
+class _Frame:
+    parts: list  # samples of each channel, or Predicted
+    layout: int
+
+
+@dataclass
+class _Info:
+    depth: int
+    total: int
+    md5: bytes
+    points: list[tuple[int, int, int]]  # first sample, byte behind the metadata, samples
+    at: int  # where the frames start
+
+
+def metadata(data: bytes) -> _Info:
     if data[:4] != b"fLaC":
         raise Corrupt("no FLAC stream")
-    at, info, last = 4, None, False
+    at, info, points, last = 4, None, b"", False
     while not last:
         if at + 4 > len(data):
             raise Corrupt("metadata is cut off")
         last, kind, size = data[at] >> 7 == 1, data[at] & 127, int.from_bytes(data[at + 1 : at + 4], "big")
         if kind == 0:
             info = data[at + 4 : at + 4 + size]
+        elif kind == 3:
+            points = data[at + 4 : at + 4 + size]
         at += 4 + size
-    if info is None or len(info) < 34:
+    if info is None or len(info) < 34 or at > len(data):
         raise Corrupt("no stream information")
     packed = int.from_bytes(info[10:18], "big")
-    depth0, total = (packed >> 36 & 31) + 1, packed & ((1 << 36) - 1)
-    whole, offset, width = hashlib.md5(), 0, -(-depth0 // 8)
-    while at < len(data):
-        start = at
-        if data[at : at + 1] != b"\xff" or len(data) < at + 6 or data[at + 1] & 0xFE != 0xF8:
-            raise Corrupt("no frame where one should start")
-        size, layout, code = data[at + 2] >> 4, data[at + 3] >> 4, data[at + 3] >> 1 & 7
-        rate = data[at + 2] & 15
-        at += 4
-        lead = data[at]
-        at += 1 if lead < 0x80 else next(k for k in range(8) if not lead >> (7 - k) & 1)
-        extra = 1 if size == 6 else 2 if size == 7 else 0
-        n = int.from_bytes(data[at : at + extra], "big") + 1 if extra else SIZES.get(size)
-        at += extra + (1 if rate == 12 else 2 if rate in (13, 14) else 0)
-        if n is None or at >= len(data) or layout > 10:
-            raise Corrupt("a reserved block size or channel layout")
-        if check and crc8(data[start:at]) != data[at]:
-            raise Corrupt("a frame header's checksum differs")
-        at += 1
-        depth = DEPTHS.get(code, depth0)
-        r = _Reader(data, at, n * depth * (1 if layout > 7 else layout + 1))
-        parts = [_decode_subframe(r, n, depth + (layout == 8 and k == 1 or layout == 9 and k == 0 or layout == 10 and k == 1)) for k in range(2 if layout > 7 else layout + 1)]
-        at += -(-r.at // 8)
-        if check and crc16(data[start:at]) != int.from_bytes(data[at : at + 2], "big"):
-            raise Corrupt("a frame's checksum differs")
-        at += 2
-        if layout == 8:
-            parts[1] = parts[0] - parts[1]
-        elif layout == 9:
-            parts[0] = parts[0] + parts[1]
-        elif layout == 10:
-            mid = parts[0] << 1 | parts[1] & 1
-            parts = [(mid + parts[1]) >> 1, (mid - parts[1]) >> 1]
-        x = np.stack(parts)
-        whole.update(np.ascontiguousarray(x.T).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes() if width not in (1, 2) else x.T.astype(f"<i{width}").tobytes())
-        yield Block(offset, x)
-        offset += n
-    if check and (total and offset != total or info[18:34] != bytes(16) and whole.digest() != info[18:34]):
-        raise Corrupt("the samples' number or MD5 differs")
+    found = [(int.from_bytes(points[k : k + 8], "big"), int.from_bytes(points[k + 8 : k + 16], "big"), int.from_bytes(points[k + 16 : k + 18], "big")) for k in range(0, len(points) - 17, 18)]
+    return _Info((packed >> 36 & 31) + 1, packed & ((1 << 36) - 1), info[18:34], [p for p in found if p[0] != (1 << 64) - 1], at)
+
+
+def _frame(data: bytes, at: int, depth0: int, check: bool) -> tuple[_Frame, int, int]:
+    """The frame at a byte, its number of samples, and where it ends."""
+    start = at
+    if data[at : at + 1] != b"\xff" or len(data) < at + 6 or data[at + 1] & 0xFE != 0xF8:
+        raise Corrupt("no frame where one should start")
+    size, layout, code = data[at + 2] >> 4, data[at + 3] >> 4, data[at + 3] >> 1 & 7
+    rate = data[at + 2] & 15
+    at += 4
+    lead = data[at]
+    at += 1 if lead < 0x80 else next(k for k in range(8) if not lead >> (7 - k) & 1)
+    extra = 1 if size == 6 else 2 if size == 7 else 0
+    n = int.from_bytes(data[at : at + extra], "big") + 1 if extra else SIZES.get(size)
+    at += extra + (1 if rate == 12 else 2 if rate in (13, 14) else 0)
+    if n is None or at >= len(data) or layout > 10:
+        raise Corrupt("a reserved block size or channel layout")
+    if check and crc8(data[start:at]) != data[at]:
+        raise Corrupt("a frame header's checksum differs")
+    at += 1
+    depth = DEPTHS.get(code, depth0)
+    r = _Reader(data, at, n * depth * (1 if layout > 7 else layout + 1))
+    parts = [_decode_subframe(r, n, depth + (layout == 8 and k == 1 or layout == 9 and k == 0 or layout == 10 and k == 1)) for k in range(2 if layout > 7 else layout + 1)]
+    at += -(-r.at // 8)
+    if check and crc16(data[start:at]) != int.from_bytes(data[at : at + 2], "big"):
+        raise Corrupt("a frame's checksum differs")
+    return _Frame(parts, layout), n, at + 2
+
+
+def _channels(frame: _Frame) -> np.ndarray:
+    parts = frame.parts
+    if frame.layout == 8:
+        parts[1] = parts[0] - parts[1]
+    elif frame.layout == 9:
+        parts[0] = parts[0] + parts[1]
+    elif frame.layout == 10:
+        mid = parts[0] << 1 | parts[1] & 1
+        parts = [(mid + parts[1]) >> 1, (mid - parts[1]) >> 1]
+    return np.stack(parts)
+
+
+#: Samples of frames that are decoded side by side at most (or one frame, if that has more).
+TOGETHER = 1 << 20
+
+
+def decode_many(streams: Iterable[bytes], check: bool = True) -> Iterator[tuple[int, Block | Corrupt | None]]:
+    """(number of the stream, block) of the blocks of samples of several streams in their order. Behind the last block of a stream comes None, or Corrupt in its place if the stream breaks off there.
+
+    Header and frame checksums, the number of samples and the MD5 of all are verified. Frames wait until TOGETHER samples are there, so that their linear predictors are undone side by side.
+    """
+    waiting: list[tuple] = []
+    whole, offset = hashlib.md5(), 0
+
+    def out():
+        nonlocal whole, offset
+        late = [(f, c) for _, f, _ in waiting if isinstance(f, _Frame) for c, p in enumerate(f.parts) if isinstance(p, Predicted)]
+        for (f, c), x in zip(late, restored([f.parts[c] for f, c in late]), strict=True):
+            f.parts[c] = x
+        for k, f, info in waiting:
+            if isinstance(f, _Frame):
+                x, width = _channels(f), -(-info.depth // 8)
+                whole.update(np.ascontiguousarray(x.T).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes() if width not in (1, 2) else x.T.astype(f"<i{width}").tobytes())
+                yield k, Block(offset, x)
+                offset += x.shape[1]
+                continue
+            if f is None and check and (info.total and offset != info.total or info.md5 != bytes(16) and whole.digest() != info.md5):
+                f = Corrupt("the samples' number or MD5 differs")
+            yield k, f
+            whole, offset = hashlib.md5(), 0
+        waiting.clear()
+
+    size = 0
+    for k, data in enumerate(streams):
+        info = None
+        try:
+            info = metadata(data)
+            at = info.at
+            while at < len(data):
+                frame, n, at = _frame(data, at, info.depth, check)
+                waiting.append((k, frame, info))
+                size += n
+                if size >= TOGETHER:
+                    yield from out()
+                    size = 0
+            waiting.append((k, None, info))
+        except (Corrupt, IndexError, StopIteration, ValueError) as e:
+            waiting.append((k, e if isinstance(e, Corrupt) else Corrupt(f"the stream is cut off: {e}"), info))
+    yield from out()
+
+
+def decode(data: bytes, check: bool = True) -> Iterator[Block]:
+    """Blocks of samples of one stream with the offset of their first one; errors raise Corrupt behind the last sound block."""
+    for _, block in decode_many([data], check):
+        if isinstance(block, Corrupt):
+            raise block
+        if block is not None:
+            yield block
+
+
+def seek(data: bytes, sample: int) -> Block:
+    """The block that holds a sample, found by the seek table: no other frame is read. Corrupt if no point of the table leads to it."""
+    info = metadata(data)
+    found = next((p for p in reversed(info.points) if p[0] <= sample < p[0] + p[2]), None)
+    if found is None:
+        raise Corrupt("no seek point leads there")
+    frame, _, _ = _frame(data, info.at + found[1], info.depth, True)
+    for c, p in enumerate(frame.parts):
+        if isinstance(p, Predicted):
+            frame.parts[c] = restored([p])[0]
+    return Block(found[0], _channels(frame))
 
 
 UNIT = 64
@@ -379,6 +534,17 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(part, "doc_id long, n_bytes long, media binary")
 
 
+def _pcm(streams: list[bytes | None]) -> Iterator[tuple[int, int, int | None, np.ndarray | None, str | None]]:
+    """(number of the stream, block, first sample, samples of the first channel, error) of the blocks of several streams; an error takes the place of the block that it spoils."""
+    number, now = 0, None
+    for k, b in decode_many(x or b"" for x in streams):
+        number, now = (number + 1 if k == now else 0), k
+        if isinstance(b, Corrupt):
+            yield k, number, None, None, str(b)
+        elif b is not None:
+            yield k, number, b.offset, b.samples[0], None
+
+
 def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """Per block of each stream: doc_id, block, sample_offset, n_samples, pcm (8-bit unsigned), error.
 
@@ -389,13 +555,15 @@ def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
         names = ["doc_id", "block", "sample_offset", "n_samples", "pcm", "error"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
         for batch in batches:
-            for i, data in zip(batch.column(0), batch.column(1), strict=True):
-                rows, i = [], i.as_py()
-                try:
-                    for k, b in enumerate(decode(data.as_py() or b"")):
-                        rows.append((i, k, b.offset, b.samples.shape[1], bytes_of(b.samples[0]), None))
-                except (Corrupt, IndexError, ValueError) as e:
-                    rows.append((i, len(rows), None, None, None, str(e)))
+            for start in range(0, batch.num_rows, 256):
+                ids, streams = (batch.column(c).slice(start, 256).to_pylist() for c in (0, 1))
+                rows, size = [], 0
+                for k, number, offset, x, error in _pcm(streams):
+                    rows.append((ids[k], number, offset, None if x is None else len(x), None if x is None else bytes_of(x), error))
+                    size += 0 if x is None else len(x)
+                    if size > 4_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -403,31 +571,47 @@ def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Per stream of store(): doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (last 64 bytes), media_bytes, media_sha256, feature.
+    """Per stream of store(): doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (last 64 bytes), media_bytes, media_sha256, feature, block_offsets.
 
-    All but n_bytes come from the decoded stream, whose checksums must hold: a fault fails the job. feature: peak, zero crossings, sum of squares and number of blocks.
+    All but n_bytes come from the PCM blocks of the decoded stream, whose checksums must hold: a fault fails the job. feature: peak, zero crossings, sum of squares and number of blocks.
+    block_offsets: the first sample of each block, where the stream's seek table leads.
     """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "block_offsets"]
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                part_rows, rows = batch.slice(k, 256), []
-                for data in part_rows.column(2).to_pylist():
-                    sha, n, tail, peak, crossings, energy, blocks, last = hashlib.sha256(), 0, b"", 0, 0, 0, 0, None
-                    for b in decode(data):
-                        x = b.samples[0]
-                        raw = bytes_of(x)
-                        sha.update(raw)
-                        n, tail, blocks = n + len(raw), (tail + raw)[-UNIT:], blocks + 1
-                        sign = x < 0
-                        crossings += int((sign[1:] != sign[:-1]).sum()) + (last is not None and bool(sign[0]) != last)
-                        peak, energy, last = max(peak, int(np.abs(x).max())), energy + int(x @ x), bool(sign[-1])
-                    feature = f"peak={peak};crossings={crossings};energy={energy};blocks={blocks}"
-                    rows.append((n, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature))
+                part_rows = batch.slice(k, 256)
+                streams = part_rows.column(2).to_pylist()
+                seen = [_Described() for _ in streams]
+                for n, _, offset, x, error in _pcm(streams):
+                    if error is not None:
+                        raise Corrupt(f"stream of document {part_rows.column(0)[n].as_py()}: {error}")
+                    seen[n].add(offset, x)
+                rows = [d.row(data) for d, data in zip(seen, streams, strict=True)]
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part_rows.column(0), part_rows.column(1), *cols], names=["doc_id", "n_bytes", *names])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, block_offsets array<long>"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(part, schema)
+
+
+class _Described:
+    """What describe() says of a stream, gathered block by block."""
+
+    def __init__(self):
+        self.sha, self.n, self.tail, self.peak, self.crossings, self.energy, self.last, self.offsets = hashlib.sha256(), 0, b"", 0, 0, 0, None, []
+
+    def add(self, offset: int, x: np.ndarray) -> None:
+        raw = bytes_of(x)
+        self.sha.update(raw)
+        self.n, self.tail = self.n + len(raw), (self.tail + raw)[-UNIT:]
+        self.offsets.append(offset)
+        sign = x < 0
+        self.crossings += int((sign[1:] != sign[:-1]).sum()) + (self.last is not None and bool(sign[0]) != self.last)
+        self.peak, self.energy, self.last = max(self.peak, int(np.abs(x).max())), self.energy + int(x @ x), bool(sign[-1])
+
+    def row(self, data: bytes) -> tuple:
+        feature = f"peak={self.peak};crossings={self.crossings};energy={self.energy};blocks={len(self.offsets)}"
+        return self.n, self.sha.hexdigest(), zlib.crc32(self.tail), len(data), hashlib.sha256(data).hexdigest(), feature, self.offsets

@@ -69,7 +69,7 @@ def test_round_trip(how):
 def test_every_byte_is_guarded():
     data = A.encode(signal(300))
     rng = random.Random(3)
-    for k in range(42, len(data)):
+    for k in range(64, len(data)):
         bad = bytearray(data)
         bad[k] ^= 1 << rng.randrange(8)
         with pytest.raises((A.Corrupt, IndexError)):
@@ -79,6 +79,50 @@ def test_every_byte_is_guarded():
             list(A.decode(data[:n]))
 
 
+def slow_predicted(p):
+    out = p.warm.tolist()
+    for e in p.residual.tolist():
+        out.append(e + (sum(c * v for c, v in zip(p.taps.tolist(), reversed(out[-len(p.taps) :]), strict=True)) >> p.shift))
+    return [v << p.wasted for v in out]
+
+
+def test_predictors_are_undone_side_by_side():
+    rng = np.random.default_rng(3)
+    parts = [A.Predicted(rng.integers(-99, 99, o), rng.integers(-3000, 3000, o), 12, rng.integers(-50, 50, n), w) for o, n, w in ((1, 5, 0), (4, 300, 0), (4, 0, 0), (4, 41, 2), (32, 77, 0), (2, 1, 1))]
+    assert [x.tolist() for x in A.restored(parts)] == [slow_predicted(p) for p in parts] and A.restored([]) == []
+
+
+def kinds(data):
+    info, out, at = A.metadata(data), [], A.metadata(data).at
+    while at < len(data):
+        frame, _, end = A._frame(data, at, info.depth, True)
+        out.append("linear" if isinstance(frame.parts[0], A.Predicted) else data[at : at + 1])
+        at = end
+    return out
+
+
+def test_encoder_uses_linear_predictors():
+    text = A.samples_of(A.payload_of("the quick brown fox jumps over the lazy dog and what else " * 300))
+    assert "linear" in kinds(A.encode(text)) and "linear" in kinds(A.encode(signal(9000)))
+
+
+def test_seek_and_many_streams(monkeypatch):
+    monkeypatch.setattr(A, "TOGETHER", 5000)
+    xs = [signal(n, n) for n in (10_000, 1, 4096, 64, 20_001)]
+    streams = [A.encode(x) for x in xs]
+    for x, data in zip(xs, streams, strict=True):
+        for sample in {0, len(x) // 2, len(x) - 1}:
+            b = A.seek(data, sample)
+            assert b.offset <= sample < b.offset + b.samples.shape[1] and np.array_equal(b.samples[0], x[b.offset : b.offset + b.samples.shape[1]])
+        with pytest.raises(A.Corrupt):
+            A.seek(data, len(x))
+    mixed = [streams[0], b"", streams[1], streams[4][:-3], streams[2], b"fLaC", streams[3]]
+    got = list(A.decode_many(mixed))
+    for k, want in ((0, xs[0]), (2, xs[1]), (4, xs[2]), (6, xs[3])):
+        assert np.array_equal(np.concatenate([b.samples[0] for n, b in got if n == k and b is not None]), want)
+    assert [k for k, b in got if isinstance(b, A.Corrupt)] == [1, 3, 5] and [b.offset for k, b in got if k == 3 and isinstance(b, A.Block)] == [0, 4096, 8192, 12288]
+
+
 def test_table(spark):
     texts = ["", None, "é" * 40, "plain text " * 3000, "x" * 64, "x" * 65, "same", "same"]
     docs = spark.createDataFrame([(i if i else None, t, "m") for i, t in enumerate(texts)], "doc_id long, text string, media string")
@@ -90,6 +134,7 @@ def test_table(spark):
         padded = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest())
+        assert r.block_offsets == list(range(0, len(padded), 4096))
     assert rows[6].feature == rows[7].feature and rows[6].media_sha256 == rows[7].media_sha256
     blocks = A.pcm_blocks(media).where("doc_id = 3").orderBy("block").collect()
     assert b"".join(b.pcm for b in blocks) == A.payload_of(texts[3]) and [b.sample_offset for b in blocks] == list(range(0, 33_024, 4096))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.common import without
+from bytelake.llm.common import small, without, written
 
 #: Ones are compared, zeros may be substituted. Their gaps fit texts in which every third, fourth or fifth token was replaced.
 MASKS = ("11011011", "1110111", "1111011")
-#: Rows of benchmark hashes (some 40 bytes each) that are sent to every executor at most; a larger set is joined by a shuffle.
+#: Rows of benchmark hashes and of hits (some 40 bytes each) that are sent to every executor at most; larger sets are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -48,29 +48,27 @@ def leaks(
     Null or empty texts, and items or documents with fewer tokens than the shortest mask spans, match nothing. Rows that repeat an id are searched each and
     reported once. Null ids of documents or items are reported as null. Other columns are ignored; empty tables give no rows.
 
-    The documents' hashes are never shuffled while the benchmark's are at most BROADCAST_ROWS (counted first). Texts are shuffled once, to the places found.
+    The documents' hashes are never shuffled while the benchmark's are at most BROADCAST_ROWS (counted first). Places where hashes meet are written and counted;
+    then only the documents that hold one are read into tokens again, once each, and a place is a row of its own until it is counted: no list grows with a document.
     """
     items = benchmark.select(F.col(item_col).alias("__item"), _tokens(F.col(item_text_col)).alias("__item_words")).distinct()
     items = items.withColumn("__iw", F.xxhash64("__item_words"))
     keys = _seeds(items, "__item_words", ["__iw"], masks).select("__iw", F.col("__pos").alias("__at"), "__h").distinct()
-    if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
+    keys = small(written(keys, "item-seeds"), BROADCAST_ROWS)
     base = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__th"), F.col(text_col).alias("__text"))
     tokens = base.select("__id", "__th", _tokens(F.col("__text")).alias("__words"))
     hits = _seeds(tokens, "__words", ["__id", "__th"], masks).join(keys, "__h")
-    hits = hits.select("__id", "__th", "__iw", (F.col("__pos") - F.col("__at")).alias("__start")).distinct()
-    placed = hits.join(items, "__iw").groupBy("__id", "__th").agg(F.collect_list(F.struct("__item", "__start", "__item_words")).alias("__places"))
-    texts = tokens.join(placed.withColumnsRenamed({"__id": "__pid", "__th": "__pth"}), F.col("__id").eqNullSafe(F.col("__pid")) & (F.col("__th") == F.col("__pth")))
-
-    def matched(p: Column) -> Column:
-        there = F.slice("__words", F.greatest(p["__start"], F.lit(0)) + 1, F.size(p["__item_words"]))
-        mine = F.slice(p["__item_words"], F.greatest(-p["__start"], F.lit(0)) + 1, F.size(p["__item_words"]))
-        return F.size(F.filter(F.zip_with(there, mine, lambda a, b: a == b), lambda x: x)).cast("long")
-
-    found = texts.select(
-        "__id",
-        F.explode(F.transform("__places", lambda p: F.struct(p["__item"].alias("item"), p["__start"].alias("start"), F.size(p["__item_words"]).alias("n"), matched(p).alias("m")))).alias("p"),
-    )
+    hits = written(hits.select("__id", "__th", "__iw", (F.col("__pos") - F.col("__at")).alias("__start")).distinct(), "hits")
+    held = hits.select(F.col("__id").alias("__pid"), F.col("__th").alias("__pth"))
+    same = F.col("__id").eqNullSafe(F.col("__pid")) & (F.col("__th") == F.col("__pth"))
+    # one row for each text that is hit, rows that repeat both id and text included
+    texts = written(base.join(small(written(held.distinct(), "hit-texts"), BROADCAST_ROWS), same, "left_semi").dropDuplicates(["__id", "__th"]).select("__id", "__th", _tokens(F.col("__text")).alias("__words")), "hit-tokens")
+    placed = texts.join(small(hits.withColumnsRenamed({"__id": "__pid", "__th": "__pth"}), BROADCAST_ROWS), same).join(small(written(items, "items"), BROADCAST_ROWS // 40), "__iw")
+
+    there = F.slice("__words", F.greatest("__start", F.lit(0)) + 1, F.size("__item_words"))
+    mine = F.slice("__item_words", F.greatest(-F.col("__start"), F.lit(0)) + 1, F.size("__item_words"))
+    matched = F.size(F.filter(F.zip_with(there, mine, lambda a, b: a == b), lambda x: x)).cast("long")
+    found = placed.select("__id", F.struct(F.col("__item").alias("item"), F.col("__start").alias("start"), F.size("__item_words").alias("n"), matched.alias("m")).alias("p"))
     found = found.where((F.col("p.m") >= F.ceil(F.lit(min_share) * F.col("p.n"))) | (F.col("p.m") >= enough))
     return found.groupBy(F.col("__id").alias("doc_id"), F.col("p.item").alias("item_id")).agg(
         F.max("p.m").alias("n_matched"),

@@ -83,7 +83,7 @@ def _per_method(found: DataFrame, edges: DataFrame, f, schema: str) -> DataFrame
 def _types(schema: str) -> list:
     import pyarrow as pa
 
-    kinds = {"string": pa.string(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
     return [kinds[x.split()[1]] for x in schema.split(", ")]
 
 
@@ -191,6 +191,55 @@ def _loops(rows: list, start: int) -> list[tuple]:
     return out
 
 
+def _back_edges(rows: list, start: int) -> list[tuple]:
+    """By a depth-first search in the order of the code: edges to a block that is still open."""
+    idom, after = _dominators([r[:2] for r in rows], start), {}
+    for a, b in sorted({(a, b) for a, b, _ in rows}):
+        after.setdefault(a, []).append(b)
+
+    def dominates(a: int, b: int | None) -> bool:
+        while b is not None and b != a:
+            b = idom[b]
+        return b == a
+
+    found, seen, open_, stack = [], {start}, {start}, [(start, iter(after.get(start, ())))]
+    while stack:
+        node, rest = stack[-1]
+        b = next(rest, None)
+        if b is None:
+            open_.discard(node)
+            stack.pop()
+        elif b in open_:
+            found.append((node, b, dominates(b, node)))
+        elif b not in seen:
+            seen.add(b)
+            open_.add(b)
+            stack.append((b, iter(after.get(b, ()))))
+    return sorted(found)
+
+
+def back_edges(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """(class_id, method, latch, header, natural): edges that close a cycle, exception edges included.
+
+    Where the header dominates the latch (natural), the edge closes one whatever the order of the search. Cycles with several entries have no such edge: they are broken where a depth-first search in the order of the code
+    meets a block that is still open, so every cycle has at least one of these edges.
+    """
+    return _per_method(found, edges, _back_edges, "class_id string, method int, latch int, header int, natural boolean")
+
+
+def outside_joins(t: ClassTables, arms: DataFrame | None = None) -> DataFrame:
+    """(class_id, method, start_pc, end_pc): arms at whose end control arrives from outside: some condition jumps to end_pc from before start_pc or from end_pc on.
+
+    arms (class_id, method, start_pc, end_pc): by default, what each forward condition jumps over.
+    """
+    jumps = t.insns.where("op LIKE 'if%'").select(*KEY, "pc", "length", "target")
+    if arms is None:
+        arms = jumps.where("target > pc").select(*KEY, (F.col("pc") + F.col("length")).alias("start_pc"), F.col("target").alias("end_pc"))
+    to = jumps.select(*KEY, F.col("target").alias("end_pc"), F.col("pc").alias("__from"))
+    joined = arms.join(to, [*KEY, "end_pc"]).where("__from < start_pc OR __from >= end_pc")
+    return joined.select(*KEY, "start_pc", "end_pc").distinct()
+
+
 def loops(found: DataFrame, edges: DataFrame) -> DataFrame:
     """(class_id, method, header, latches, blocks, n_blocks, kind): natural loops, those of one header as one.
 

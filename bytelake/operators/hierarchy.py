@@ -48,7 +48,8 @@ def overrides(t: ClassTables, also: ClassTables | None = None) -> DataFrame:
 
 
 def object_overrides(t: ClassTables) -> DataFrame:
-    """(class_id, seq, name, descriptor): methods that override one of java.lang.Object."""
+    """(class_id, seq, name, descriptor): methods that override one of java.lang.Object, whose own methods override nothing."""
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(d).alias("descriptor")) for n, d in OBJECT_METHODS])
-    rows = method_headers(t).where(F.col("access").bitwiseAND(0x8) == 0)
+    itself = class_headers(t).where("name = 'java.lang.Object'").select("class_id")
+    rows = method_headers(t).where(F.col("access").bitwiseAND(0x8) == 0).join(itself, "class_id", "left_anti")
     return rows.where(F.array_contains(pairs, F.struct("name", "descriptor"))).select("class_id", "seq", "name", "descriptor")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytelake.functions import names as N
-from bytelake.operators.resolve import _text, class_names
+from bytelake.operators.resolve import _text, class_headers, class_names, method_headers
 from bytelake.sources.classes import ClassTables
 
 KEY = ["class_id", "method"]
@@ -41,10 +41,47 @@ def frame_offsets(t: ClassTables) -> DataFrame:
     return t.frames.select(*KEY, "seq", (F.sum(F.col("delta") + 1).over(w) - 1).cast("int").alias("pc"))
 
 
+def _entry_locals(t: ClassTables) -> DataFrame:
+    """(class_id, method, entry, type): what a method starts with, as a frame would say it: the receiver, then one entry for each parameter."""
+    own = class_headers(t).select("class_id", F.col("name").alias("own"))
+    rows = method_headers(t).join(own, "class_id").withColumnRenamed("seq", "method")
+    receiver = F.when(F.col("access").bitwiseAND(0x8) != 0, F.array().cast("array<string>")).when((F.col("name") == "<init>") & (F.col("own") != "java.lang.Object"), F.array(F.lit("uninitializedThis"))).otherwise(F.array("own"))
+    small = F.array(*[F.lit(x) for x in ("boolean", "byte", "char", "short")])
+    depth = lambda x: F.length(F.regexp_extract(x, r"((\[\])*)$", 1)) / 2
+    codes = F.create_map(*[F.lit(x) for k, v in N.PRIMITIVES.items() for x in (v, k)])
+    base = lambda x: F.regexp_replace(x, r"(\[\])+$", "")
+    array = lambda x: F.concat(F.repeat(F.lit("["), depth(x).cast("int")), F.coalesce(F.try_element_at(codes, base(x)), F.concat(F.lit("L"), base(x), F.lit(";"))))
+    one = lambda x: F.when(F.array_contains(small, x), F.lit("int")).when(x.endswith("[]"), array(x)).otherwise(x)
+    return rows.select(*KEY, F.posexplode(F.concat(receiver, F.transform(N.parameter_types(F.col("descriptor")), one))).alias("entry", "type"))
+
+
 def frame_locals(t: ClassTables) -> DataFrame:
-    """(class_id, method, pc, entry, type): locals that each frame declares anew, object types by name. Frames without locals of their own have no rows."""
-    rows = t.frames.select(*KEY, "pc", F.posexplode("locals").alias("entry", "v")).select(*KEY, "pc", "entry", "v.type", F.col("v.cp").alias("idx"))
-    return rows.join(class_names(t), ["class_id", "idx"], "left").select(*KEY, "pc", "entry", F.coalesce("name", "type").alias("type"))
+    """(class_id, method, seq, entry, type): all locals that each stack map frame leaves in force, object types by name: a frame drops the last ones, adds some or names all anew.
+
+    The number of entries in force is a running sum from the last frame that names all; of an entry, the type is that of the last frame up to here that named it. A long or double is one entry.
+    """
+    start = _entry_locals(t).join(t.frames.select(*KEY).distinct(), KEY, "left_semi")
+    first = t.frames.select(*KEY).distinct().join(start.groupBy(*KEY).agg(F.count("*").cast("int").alias("n")), KEY, "left").select(*KEY, F.lit(-1).alias("seq"), F.lit("full").alias("kind"), F.coalesce("n", F.lit(0)).alias("change"))
+    change = F.when(F.col("kind") == "chop", -F.col("chop")).otherwise(F.size("locals"))
+    steps = first.unionByName(t.frames.select(*KEY, "seq", "kind", change.alias("change")))
+    order = Window.partitionBy(*KEY).orderBy("seq")
+    steps = steps.withColumn("since", F.sum((F.col("kind") == "full").cast("int")).over(order))
+    steps = steps.withColumn("n", F.sum("change").over(Window.partitionBy(*KEY, "since").orderBy("seq")).cast("int"))
+    own = t.frames.select(*KEY, "seq", F.posexplode("locals").alias("k", "v")).select(*KEY, "seq", "k", "v.type", F.col("v.cp").alias("idx"))
+    own = own.join(class_names(t), ["class_id", "idx"], "left").select(*KEY, "seq", "k", F.coalesce("name", "type").alias("named"))
+    own = own.join(steps.select(*KEY, "seq", "n", F.col("change")), [*KEY, "seq"]).select(*KEY, "seq", (F.col("n") - F.col("change") + F.col("k")).alias("entry"), "named")
+    own = own.unionByName(start.select(*KEY, F.lit(-1).alias("seq"), "entry", F.col("type").alias("named")))
+    rows = steps.where("n > 0").select(*KEY, "seq", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("entry")).join(own, [*KEY, "seq", "entry"], "left")
+    rows = rows.withColumn("type", F.last("named", ignorenulls=True).over(Window.partitionBy(*KEY, "entry").orderBy("seq")))
+    return rows.where("seq >= 0").select(*KEY, "seq", "entry", "type")
+
+
+def receiver_guesses(t: ClassTables) -> DataFrame:
+    """(class_id, method, name): for every method with code, the local that a store without a known receiver is given to: the first declared one, by slot, that is neither `this` nor a made-up var_*; else `this`, or null in a static method."""
+    named = local_variables(t).where(~F.col("name").startswith("var_") & (F.col("name") != "this"))
+    first = named.groupBy(*KEY).agg(F.min_by("name", F.struct("slot", "start_pc", "name")).alias("first"))
+    rows = t.methods.where("code IS NOT NULL").select("class_id", F.col("seq").alias("method"), "access").join(first, KEY, "left")
+    return rows.select(*KEY, F.coalesce("first", F.when(F.col("access").bitwiseAND(0x8) == 0, F.lit("this"))).alias("name"))
 
 
 def lines_of(t: ClassTables) -> DataFrame:

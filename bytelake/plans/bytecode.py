@@ -1,11 +1,14 @@
-"""Queries over compiled code: the archive that ships with PySpark, scanned once a session. They ignore sf_dir, and give typed empty frames where the archive is absent."""
+"""Queries over compiled code: two archives that ship with PySpark, scanned once a session. They ignore sf_dir.
+
+Rows are keyed by the class file's path in its archive, and indexes into the pool are given as what they stand for, so that they can be held against a disassembler's listing: see expected.py.
+"""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelake.operators import cfg, hierarchy, resolve, scopes, sources, trees
@@ -13,30 +16,45 @@ from bytelake.operators.store import written
 from bytelake.sources import classes as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ARCHIVES = ("gson-2.11.0.jar", "commons-cli-1.10.0.jar")
 _SCANS: dict[tuple[str, str], C.ClassTables] = {}
 _GRAPHS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
-def sample_archive() -> str:
-    import pyspark
+def jars_folder(spark: SparkSession | None = None) -> str:
+    """The folder of Spark's own jars: that from which the session's JVM runs, else that of the installation. PySpark itself may be imported from a zip, beside which there are none."""
+    found = []
+    if spark is not None:
+        source = spark._jvm.java.lang.Class.forName("org.apache.spark.SparkContext").getProtectionDomain().getCodeSource()
+        if source is not None:
+            found.append(os.path.dirname(source.getLocation().getPath()))
+    from pyspark.find_spark_home import _find_spark_home
+
+    found += [os.path.join(home, "jars") for home in (os.environ.get("SPARK_HOME"), _find_spark_home()) if home]
+    for folder in found:
+        if all(os.path.exists(os.path.join(folder, name)) for name in ARCHIVES):
+            return folder
+    raise FileNotFoundError(f"none of {found} holds {' and '.join(ARCHIVES)}")
+
 
-    return os.path.join(os.path.dirname(pyspark.__file__), "jars", "gson-2.11.0.jar")
+def sample_archive(spark: SparkSession | None = None) -> str:
+    return os.path.join(jars_folder(spark), ARCHIVES[0])
 
 
-def tables(spark: SparkSession, path: str | None = None) -> C.ClassTables:
-    path = path or sample_archive()
-    key = (spark.sparkContext.applicationId, path)
+def sample_archives(spark: SparkSession) -> list[str]:
+    return [os.path.join(jars_folder(spark), name) for name in ARCHIVES]
+
+
+def tables(spark: SparkSession) -> C.ClassTables:
+    key = (spark.sparkContext.applicationId, "sample")
     if key not in _SCANS:
-        if os.path.exists(path):
-            _SCANS[key] = C.ClassTables.scan(spark, path)
-        else:
-            _SCANS[key] = C.ClassTables(spark.createDataFrame([], C._spark_schema(C.DECODED)))
+        _SCANS[key] = C.ClassTables.scan(spark, sample_archives(spark))
     return _SCANS[key]
 
 
 def graphs(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Blocks and edges of all methods."""
-    key = (spark.sparkContext.applicationId, sample_archive())
+    key = (spark.sparkContext.applicationId, "sample")
     if key not in _GRAPHS:
         t = tables(spark)
         blocks = written(cfg.blocks(t), "cfg-blocks")
@@ -44,54 +62,114 @@ def graphs(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return _GRAPHS[key]
 
 
+def _at(t: C.ClassTables, df: DataFrame) -> DataFrame:
+    """df with the path in place of class_id."""
+    return df.join(t.classes.select("class_id", "path"), "class_id").drop("class_id", "archive")
+
+
+def _named(t: C.ClassTables, df: DataFrame, idx: str, name: str) -> DataFrame:
+    """df with a class name in place of an index of the pool; 0 leads nowhere."""
+    return df.join(resolve.class_names(t).withColumnsRenamed({"idx": idx, "name": name}), ["class_id", idx], "left").drop(idx)
+
+
+def _list(name: str) -> Column:
+    return F.array_join(F.transform(name, lambda x: x.cast("string")), ",").alias(name)
+
+
 def _query(name: str, f: Callable[[C.ClassTables], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: f(tables(spark))
+    QUERIES[name] = lambda spark, sf_dir: _at(tables(spark), f(tables(spark)))
+
+
+def _graph_query(name: str, f: Callable[[C.ClassTables, DataFrame, DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _at(tables(spark), f(tables(spark), *graphs(spark)))
 
 
 def bc_s4_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of the archive, and whether their content has the checksum that the directory says."""
-    rows = C.archive_entries(C.files(spark, sample_archive()))
-    return rows.select("path", "status", "crc32", "packed_size", F.octet_length("content").alias("size"), (F.crc32("content") == F.col("crc32")).alias("crc_ok"))
+    """Entries of the archives, and whether their content has the checksum that the directory says."""
+    rows = C.archive_entries(C.files(spark, sample_archives(spark)))
+    return rows.select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), "path", "status", "crc32", "packed_size", F.octet_length("content").alias("size"), (F.crc32("content") == F.col("crc32")).alias("crc_ok"))
+
+
+def bc_s11_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entry of an archive by its name."""
+    return C.find_entry(spark, sample_archive(spark), "com/google/gson/Gson.class").select("path", "status", F.octet_length("content").alias("size"), F.crc32("content").alias("crc"))
+
+
+def _methods(t: C.ClassTables) -> DataFrame:
+    names = resolve.class_names(t).withColumnRenamed("name", "thrown")
+    thrown = t.methods.select("class_id", "seq", F.posexplode("throws").alias("k", "idx")).join(names, ["class_id", "idx"])
+    thrown = thrown.groupBy("class_id", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "thrown"))), lambda x: x["thrown"]), ",").alias("throws"))
+    rows = resolve.members(t).join(t.methods.select("class_id", "seq", "max_stack", "max_locals", F.octet_length("code").alias("code_bytes")), ["class_id", "seq"]).join(thrown, ["class_id", "seq"], "left")
+    return rows.withColumn("throws", F.coalesce("throws", F.lit("")))
+
+
+def _scopes(t: C.ClassTables, table: str, kind: str) -> DataFrame:
+    rows = getattr(t, table)
+    text = lambda a, b: resolve._text(t.cp, a, b)
+    return rows.join(text("name_idx", "name"), ["class_id", "name_idx"]).join(text("type_idx", kind), ["class_id", "type_idx"]).drop("name_idx", "type_idx")
+
+
+def _handlers(t: C.ClassTables) -> DataFrame:
+    return _named(t, t.handlers, "catch_idx", "type").withColumn("type", F.coalesce("type", F.lit("any")))
 
 
 QUERIES["bc_s4_entries"] = bc_s4_entries
-_query("bc_s15_classes", lambda t: t.classes.drop("archive"))
-_IDS = {"cp": "bc_s16_cp", "interfaces": "bc_s17_interfaces", "fields": "bc_s17_fields", "methods": "bc_s17_methods", "insns": "bc_s24_insns", "handlers": "bc_s18_handlers", "lines": "bc_s19_lines", "lvt": "bc_s19_lvt", "lvtt": "bc_s19_lvtt", "frames": "bc_s20_frames", "inner": "bc_s22_inner", "bootstrap": "bc_s22_bootstrap", "annotations": "bc_s21_annotations", "diagnostics": "bc_s16_diagnostics"}
-for _name, _id in _IDS.items():
-    _query(_id, lambda t, n=_name: getattr(t, n))
-_query("bc_s25_headers", lambda t: resolve.class_headers(t).drop("archive"))
+QUERIES["bc_s11_lookup"] = bc_s11_lookup
+_query("bc_s15_classes", lambda t: t.classes.select("class_id", "status", "n_bytes", "minor", "major", "access", "this_idx", "super_idx", "deprecated"))
+# the listing that these are held against leaves blanks at the end of a string out
+_query("bc_s16_cp", lambda t: t.cp.where("status = 'present'").select("class_id", "idx", "kind", F.rtrim("utf8").alias("utf8"), "integer", "real", "ref1", "ref2", "handle"))
+_query("bc_s16_diagnostics", lambda t: t.diagnostics)
+_query("bc_s17_interfaces", lambda t: _named(t, t.interfaces, "cp", "name"))
+_query("bc_s17_fields", lambda t: resolve.members(t, "fields").join(t.fields.select("class_id", "seq", F.col("const_idx").isNotNull().alias("has_const")), ["class_id", "seq"]))
+_query("bc_s17_methods", _methods)
+_query("bc_s18_handlers", _handlers)
+_query("bc_s19_lines", lambda t: t.lines)
+_query("bc_s19_lvt", lambda t: _scopes(t, "lvt", "descriptor"))
+_query("bc_s19_lvtt", lambda t: _scopes(t, "lvtt", "signature"))
+_query("bc_s20_frames", lambda t: t.frames.select("class_id", "method", "seq", "kind", "delta", "chop", F.size("locals").alias("n_locals"), F.size("stack").alias("n_stack")))
+_query("bc_s21_annotations", lambda t: t.annotations.drop("value"))
+_query("bc_s22_inner", lambda t: t.inner.drop("access"))
+_query("bc_s22_bootstrap", lambda t: t.bootstrap.select("class_id", "seq", "method_idx", _list("args")))
+_query("bc_s24_insns", lambda t: t.insns.select("class_id", "method", "pc", "length", "op", "var", "value", "cp", "target", "dims"))
+_query("bc_s25_headers", lambda t: resolve.class_headers(t).withColumn("interfaces", _list("interfaces")).drop("path"))
 _query("bc_j1_references", resolve.references)
-_query("bc_j1_constants", resolve.constants)
-_query("bc_j4_calls", resolve.calls)
+_query("bc_j1_constants", lambda t: resolve.constants(t).where("kind IN ('Class', 'String', 'Integer', 'Long')").withColumn("text", F.rtrim("text")))
+_query("bc_j4_calls", lambda t: resolve.calls(t).withColumn("parameter_types", _list("parameter_types")))
 _query("bc_j5_local_variables", scopes.local_variables)
 _query("bc_j6_locals_at", scopes.locals_at)
 _query("bc_j12_nested_ranges", lambda t: scopes.nested_ranges(scopes.exception_ranges(t)))
+_query("bc_j13_outside_joins", cfg.outside_joins)
 _query("bc_j14_lambdas", resolve.lambdas)
 _query("bc_j16_overrides", hierarchy.overrides)
 _query("bc_j17_enum_constants", resolve.enum_constants)
+_query("bc_j19_receivers", scopes.receiver_guesses)
 _query("bc_f3_object_overrides", hierarchy.object_overrides)
-_query("bc_a1_switch_arms", scopes.switch_arms)
+_query("bc_a1_switch_arms", lambda t: scopes.switch_arms(t).withColumn("labels", _list("labels")))
 _query("bc_a2_exception_ranges", scopes.exception_ranges)
 _query("bc_a3_unique_returns", resolve.unique_return_types)
 _query("bc_a4_diagnostics", scopes.diagnostics_summary)
-_query("bc_a5_scan_summary", lambda t: scopes.scan_summary(t).drop("archive"))
+QUERIES["bc_a5_scan_summary"] = lambda spark, sf_dir: scopes.scan_summary(tables(spark)).withColumn("archive", F.regexp_extract("archive", "[^/]*$", 0))
 _query("bc_a6_imports", resolve.imports)
 _query("bc_w1_frame_offsets", scopes.frame_offsets)
 _query("bc_w2_frame_locals", scopes.frame_locals)
+_query("bc_w3_next_offsets", lambda t: cfg.next_offsets(t.insns.select("class_id", "method", "pc")))
 _query("bc_w5_lines_of", scopes.lines_of)
 _query("bc_w8_monitor_depth", scopes.monitor_depth)
 _query("bc_w10_backward_jumps", scopes.backward_jumps)
-QUERIES["bc_g1_blocks"] = lambda spark, sf_dir: graphs(spark)[0]
-QUERIES["bc_g1_edges"] = lambda spark, sf_dir: graphs(spark)[1]
-QUERIES["bc_g2_reachable"] = lambda spark, sf_dir: cfg.reachable_blocks(*graphs(spark))
-QUERIES["bc_g3_dominators"] = lambda spark, sf_dir: cfg.dominators(*graphs(spark))
-QUERIES["bc_g4_loops"] = lambda spark, sf_dir: cfg.loops(*graphs(spark))
-QUERIES["bc_w7_dead_runs"] = lambda spark, sf_dir: cfg.dead_runs(tables(spark), graphs(spark)[0], cfg.reachable_blocks(*graphs(spark)))
-_query("bc_g5_ancestors", lambda t: hierarchy.ancestors(hierarchy.classpath(resolve.class_headers(t))))
-_query("bc_t5_sources", lambda t: sources.sources_with_overrides(t).drop("archive"))
-_query("bc_j15_merged_sources", lambda t: sources.merge_inner(t, sources.sources(t)).drop("archive"))
-_query("bc_a10_unique_paths", lambda t: sources.unique_paths(sources.sources(t)).drop("archive"))
-_query("bc_k4_zip", lambda t: sources.zip_archives(sources.sources(t)).select(F.octet_length("content").alias("n_bytes"), F.crc32("content").alias("crc")))
+_graph_query("bc_g1_blocks", lambda t, blocks, edges: blocks)
+_graph_query("bc_g1_edges", lambda t, blocks, edges: edges)
+_graph_query("bc_w5_block_of", lambda t, blocks, edges: cfg.block_of(t, blocks))
+_graph_query("bc_g2_reachable", lambda t, blocks, edges: cfg.reachable_blocks(blocks, edges))
+_graph_query("bc_g3_dominators", lambda t, blocks, edges: cfg.dominators(blocks, edges))
+_graph_query("bc_g3_back_edges", lambda t, blocks, edges: cfg.back_edges(blocks, edges))
+_graph_query("bc_g4_loops", lambda t, blocks, edges: cfg.loops(blocks, edges).withColumns({"latches": _list("latches"), "blocks": _list("blocks")}))
+_graph_query("bc_w7_dead_runs", lambda t, blocks, edges: cfg.dead_runs(t, blocks, cfg.reachable_blocks(blocks, edges)))
+QUERIES["bc_g5_ancestors"] = lambda spark, sf_dir: hierarchy.ancestors(hierarchy.classpath(resolve.class_headers(tables(spark))))
+QUERIES["bc_a10_unique_paths"] = lambda spark, sf_dir: sources.unique_paths(sources.sources(tables(spark))).select("path", "class_name")
+# SQL can express none of the following; the tests hold them against the compiler and against debug tables
+QUERIES["bc_t5_sources"] = lambda spark, sf_dir: sources.sources_with_overrides(tables(spark)).drop("class_id", "archive")
+QUERIES["bc_j15_merged_sources"] = lambda spark, sf_dir: sources.merge_inner(tables(spark), sources.sources(tables(spark))).drop("class_id", "archive")
+QUERIES["bc_k4_zip"] = lambda spark, sf_dir: sources.zip_archives(sources.sources(tables(spark))).select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), F.octet_length("content").alias("n_bytes"), F.crc32("content").alias("crc"))
 _query("bc_m1_ast_nodes", trees.ast_nodes)
 _query("bc_w9_after_return", lambda t: trees.after_return(trees.ast_nodes(t)))
 _query("bc_w12_local_types", trees.local_types)

@@ -73,6 +73,20 @@ def archive_entries(found: DataFrame) -> DataFrame:
     return found.where(F.col("path").endswith(".jar") | F.col("path").endswith(".zip")).select("path", "content").mapInArrow(part, _spark_schema(ENTRIES))
 
 
+def find_entry(spark: SparkSession, archive: str, path: str) -> DataFrame:
+    """The first entry of that name in an archive, in the columns of ENTRIES; no row where there is none. No other entry is unpacked."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                for e in zips.entries(content.as_py(), only=path.replace("\\", "/")):
+                    row = {"archive": name.as_py(), "path": e.name, "status": e.status, "crc32": e.crc32, "packed_size": e.packed_size, "offset": e.offset, "content": e.data}
+                    yield pa.RecordBatch.from_pylist([row], ENTRIES)
+                    break
+
+    return files(spark, archive).mapInArrow(part, _spark_schema(ENTRIES))
+
+
 def class_bytes(spark: SparkSession, paths: str | list[str], partitions: int | None = None) -> DataFrame:
     """Class files under paths, in archives or plain: (archive, path, content). Module and package descriptions are left out.
 

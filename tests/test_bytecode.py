@@ -81,6 +81,10 @@ def test_hierarchy(spark, tmp_path):
     above = {(r.name, r.ancestor) for r in hierarchy.ancestors(resolve.class_headers(t)).collect()}
     assert {("p.Child", "p.Greeter"), ("p.Child", "java.lang.Object"), ("p.A", "p.B"), ("p.A", "p.A")} <= above
     assert [r.name for r in hierarchy.object_overrides(t).collect()] == ["toString"]
+    top = ClassBuilder("java/lang/Object", None)
+    top.method("toString", "()Ljava/lang/String;")
+    os.makedirs(tmp_path / "top")
+    assert hierarchy.object_overrides(ClassTables.scan(spark, folder(tmp_path / "top", {"java/lang/Object": top}))).count() == 0
     assert {(r.n_classes, r.n_failed) for r in scopes.scan_summary(t).collect()} == {(6, 1)}
     one, two = resolve.class_headers(t).where("name = 'p.A'"), resolve.class_headers(t)
     assert hierarchy.classpath(one, two).count() == 5
@@ -117,6 +121,16 @@ def test_graphs_equal_brute_force(spark):
     flat = spark.createDataFrame([(100 * m + a, 100 * m + b) for m, (_, es) in graphs.items() for a, b in es], "a int, b int")
     paths = {(r.a, r.b) for r in graph.transitive(flat).collect()}
     assert paths == {(100 * m + a, 100 * m + x) for m, (_, es) in graphs.items() for a, b in es for x in slow_reach(es, b)}
+    back = {}
+    for r in cfg.back_edges(found, edges).collect():
+        back.setdefault(r.method, set()).add((r.latch, r.header, r.natural))
+    for m, (n, es) in graphs.items():
+        mine = back.get(m, set())
+        left = [e for e in es if e not in {(a, b) for a, b, _ in mine}]
+        live_ = slow_reach(es, 0)
+        assert not any(k in slow_reach(left, b) for a, b in left if a in live_ for k in (a,)), "a cycle keeps all its edges"
+        natural = {(a, b) for a, b in es if a in live_ and (b == a or a not in slow_reach([e for e in es if b not in e], 0) or b == 0)}
+        assert {(a, b) for a, b, x in mine if x} == natural
     for m, (n, es) in graphs.items():
         reach = slow_reach(es, 0)
         assert live[m] == reach == by_rounds[m]

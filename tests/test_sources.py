@@ -132,3 +132,30 @@ def test_damage_never_fails():
                 bad[rng.randrange(4, len(bad))] = rng.randrange(256)
             r = decode(bytes(bad))
             assert r.root["status"] in ("fatal", "ok")
+
+
+def test_more_entries_than_sixteen_bits_count():
+    files = [(f"f{k}.txt", b"") for k in range(70_000)]
+    data = zips.stored(files)
+    assert [(e.name, e.data) for e in zips.entries(data)] == files
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        assert len(z.namelist()) == 70_000 and z.testzip() is None
+    cut = data[: data.find(zips.CENTRAL)]
+    assert sum(1 for _ in zips.entries(cut)) == 70_000
+
+
+def test_wide_sizes_and_offsets():
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        with z.open("a.class", "w", force_zip64=True) as f:
+            f.write(b"x" * 100)
+    assert [(e.name, e.data) for e in zips.entries(raw.getvalue())] == [("a.class", b"x" * 100)]
+    extra = struct.pack("<HHQQQ", 1, 24, 7, 8, 9)
+    assert zips._wide(extra, [True, True, True]) == [7, 8, 9] and zips._wide(b"\x09\0\x01\0z" + extra, [False, False, True]) == [None, None, 7]
+    assert zips.directory_entry(b"n", 1, 2, 1 << 33)[-12:] == struct.pack("<HHQ", 1, 8, 1 << 33)
+
+
+def test_one_entry_and_large_ones():
+    data = archive(["a.class", "b.class", "a.class"])
+    assert [e.name for e in zips.entries(data, only="a.class")] == ["a.class", "a.class"] and list(zips.entries(data, only="c")) == []
+    assert zips._inflate(zlib.compress(b"x" * 50, 9, -15), 10) == ("large", None)

@@ -23,9 +23,16 @@ def default_output(path: str) -> str:
     return os.path.splitext(path.rstrip("/"))[0] + "_decompiled"
 
 
+def readable(spark, path: str) -> bool:
+    """Whether a path of any file system that Spark reads is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    if not os.path.exists(args.input) or not os.access(args.input, os.R_OK):
+    remote = "://" in args.input
+    if not remote and not os.access(args.input, os.R_OK):
         print(f"bytelake: cannot read {args.input}", file=sys.stderr)
         return 2
     from pyspark.sql import SparkSession
@@ -34,14 +41,18 @@ def main(argv: list[str] | None = None) -> int:
     from bytelake.sources.classes import ClassTables
 
     spark = SparkSession.getActiveSession() or SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    if remote and not readable(spark, args.input):
+        print(f"bytelake: cannot read {args.input}", file=sys.stderr)
+        return 2
+    place = lambda p: p if "://" in p else os.path.abspath(p)
     paths = []
-    for p in [x for given in args.classpath for x in given.split(os.pathsep) if x]:
-        if os.access(p, os.R_OK):
+    for p in [x for given in args.classpath for x in (given.split(os.pathsep) if "://" not in given else [given]) if x]:
+        if readable(spark, place(p)):
             paths.append(p)
         else:
             print(f"bytelake: no class path at {p}", file=sys.stderr)
-    t = ClassTables.scan(spark, os.path.abspath(args.input))
-    found = sources.sources_with_overrides(t, ClassTables.scan(spark, [os.path.abspath(p) for p in paths]) if paths else None)
+    t = ClassTables.scan(spark, place(args.input))
+    found = sources.sources_with_overrides(t, ClassTables.scan(spark, [place(p) for p in paths]) if paths else None)
     if args.merge:
         found = sources.merge_inner(t, found)
     if args.input.endswith(".class"):
@@ -54,15 +65,9 @@ def main(argv: list[str] | None = None) -> int:
         for d in scopes.diagnostics_summary(t).orderBy("first_offset").collect():
             print(f"{d.severity} at {d.first_offset}: {d.message}" + (f" (and {d.suppressed} more)" if d.suppressed else ""), file=sys.stderr)
         return 0
-    output = args.output or default_output(args.input)
-    if output.endswith((".zip", ".jar")):
-        rows = sources.zip_archives(sources.unique_paths(found)).collect()
-        for k, r in enumerate(rows):  # one file for each archive of a folder
-            with open(output if len(rows) == 1 else f"{os.path.splitext(output)[0]}-{k}{os.path.splitext(output)[1]}", "wb") as f:
-                f.write(r.content)
-    else:
-        os.makedirs(output, exist_ok=True)
-        print(f"{sources.write_tree(found, os.path.abspath(output))} files in {output}", file=sys.stderr)
+    output = args.output or default_output(os.path.basename(args.input.rstrip("/")) if remote else args.input)
+    write = sources.write_zip if output.endswith((".zip", ".jar")) else sources.write_tree
+    print(f"{write(found, os.path.abspath(output))} files in {output}", file=sys.stderr)
     return 0
 
 

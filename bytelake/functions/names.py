@@ -84,3 +84,30 @@ def rename_word(text: Column, old: str, new: str) -> Column:
 def flags(c: Column, names: dict[int, str]) -> Column:
     """Modifier words of the bits that are set, in the order of names."""
     return F.array_join(F.filter(F.array(*[F.when(c.bitwiseAND(bit) != 0, F.lit(word)) for bit, word in names.items()]), lambda x: x.isNotNull()), " ")
+
+
+#: Pieces of Java source: strings, characters and comments, and what lies between them.
+_PIECES = r'(?s)"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|//[^\n]*|/\*.*?\*/|[^"\'/]+|/|"|\''
+
+
+def rename_type(text: Column, old: Column, new: Column) -> Column:
+    """Java source with one of its types renamed: its declaration and constructors, and its uses as a type. Members and variables that are called the same stay, as do strings and comments."""
+    name = F.concat(F.lit(r"(?<![\w$.])\Q"), old, F.lit(r"\E(?![\w$])"))
+    to = F.regexp_replace(new, r"\$", r"\\\$")
+    places = [
+        (r"(?<=\b(?:class|interface|enum|extends|implements|throws|new|instanceof|catch \()\s{1,3})", ""),  # after a word that a type follows
+        (r"(?<=\bcatch \()", ""),
+        (r"(?<=[<,&|] ?)", r"(?=\s*[<>,&|\[{])"),  # in a list of types
+        (r"(?<=\()", r"(?=(?:\[\])*\)\s*[\w$(!~\"\'])"),  # a cast
+        ("", r"(?=(?:\[\])+|\.class\b|::|\.this\b)"),
+        ("", r"(?=(?:<[^;=(){}]*>)?(?:\[\])*(?:\.\.\.)?\s+(?!instanceof\b)[A-Za-z_$])"),  # before the name of what is declared
+        (r"(?m)(?<=^\s{0,64}(?:(?:public|protected|private)\s)?)", r"(?=\([^;{}]*\)\s*(?:throws [^;{}]*)?\{)"),  # a constructor
+    ]
+
+    def code(piece: Column) -> Column:
+        for before, after in places:
+            piece = F.regexp_replace(piece, F.concat(F.lit(before), name, F.lit(after)), to)
+        return piece
+
+    plain = lambda x: F.when(x.rlike(r'^["\']|^//|^/\*'), x).otherwise(code(x))
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), plain), "")

@@ -49,9 +49,9 @@ def _spark_schema(schema: pa.Schema):
     return from_arrow_schema(schema)
 
 
-def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files under paths: (path, content). Directories are searched through; one file is one row, so of at most 2 GB."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
+def files(spark: SparkSession, paths: str | list[str], glob: str = "*") -> DataFrame:
+    """Files under paths whose name fits the pattern: (path, content). Directories are searched through; one file is one row, so of at most 2 GB. Other files are not opened."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(paths).select("path", "content")
 
 
 def archive_entries(found: DataFrame) -> DataFrame:
@@ -92,9 +92,8 @@ def class_bytes(spark: SparkSession, paths: str | list[str], partitions: int | N
 
     Archives differ in size by orders of magnitude, so their entries are dealt out anew before the costly decoding.
     """
-    found = files(spark, paths)
-    inside = archive_entries(found).where("status = 'ok' AND path LIKE '%.class'").select("archive", "path", "content")
-    plain = found.where(F.col("path").endswith(".class")).select(F.lit("").alias("archive"), "path", "content")
+    inside = archive_entries(files(spark, paths, "*.{jar,zip}")).where("status = 'ok' AND path LIKE '%.class'").select("archive", "path", "content")
+    plain = files(spark, paths, "*.class").select(F.lit("").alias("archive"), "path", "content")
     rows = inside.unionByName(plain).where(~F.col("path").rlike(r"(module|package)-info\.class$"))
     return rows.repartition(partitions, "archive", "path") if partitions else rows.repartition("archive", "path")
 

@@ -248,7 +248,82 @@ def test_paths_that_differ_by_case(spark):
     found = spark.createDataFrame([(*r, 0, 0, None) for r in rows], sources.SOURCES)
     got = {r.class_id: (r.path, r.text) for r in sources.unique_paths(found).collect()}
     assert got["1"] == rows[0][2:3] + rows[0][4:] and got["3"][1] == rows[2][4] and got["4"][0] == "f_0.java"
-    assert got["2"] == ("f_0_2.java", "class f_0_2 { f_0_2 x = new f_0_2(); }") and len({p.lower() for p, _ in got.values()}) == 4
+    assert got["2"] == ("f_1.java", "class f_1 { f_1 x = new f_1(); }") and len({p.lower() for p, _ in got.values()}) == 4
+
+
+def test_next_free_numbers(spark):
+    paths = ["a/B.java", "a/b.java", "A/b.java", "a/B_0.java", "a/b_2.java", "c/B_0.java", "a/b_03.java", "B.java"]
+    found = spark.createDataFrame([(str(k), f"x{k}.jar", p, "n", "", 0, 0, None) for k, p in enumerate(paths)], sources.SOURCES)
+    got = {r.class_id: r.path for r in sources.unique_paths(found, ()).collect()}
+    assert got == {"0": "a/B_1.java", "1": "a/b_3.java", "2": "A/b.java"} | {str(k): paths[k] for k in range(3, 8)}
+    assert {r.path for r in sources.unique_paths(found).collect()} == set(paths)
+
+
+def test_types_are_renamed_where_they_are_types(spark):
+    text = """public final class a<T extends a> extends b implements a, c {
+    // a stays here; a.class too
+    private a a = new a(1);
+    static a[] all;
+    String s = "a a.class " + 'a';
+    public a(int a) throws a {
+        this.a = a;
+        a(a);
+        Object o = (a) x;
+        List<a> l = Arrays.asList(a.class, a::get, a[].class);
+        if (o instanceof a && a instanceof b) { a.a = a + a; }
+    }
+    a a(a... a) { return a; }
+}"""
+    want = """public final class a_0<T extends a_0> extends b implements a_0, c {
+    // a stays here; a.class too
+    private a_0 a = new a_0(1);
+    static a_0[] all;
+    String s = "a a.class " + 'a';
+    public a_0(int a) throws a_0 {
+        this.a = a;
+        a(a);
+        Object o = (a_0) x;
+        List<a_0> l = Arrays.asList(a_0.class, a_0::get, a_0[].class);
+        if (o instanceof a_0 && a instanceof b) { a.a = a + a; }
+    }
+    a_0 a(a_0... a) { return a; }
+}"""
+    from pyspark.sql import functions as F
+
+    assert spark.createDataFrame([(text, "a", "a_0")], "t string, o string, n string").select(N.rename_type(F.col("t"), F.col("o"), F.col("n"))).first()[0] == want
+
+
+def test_trees_and_zips_lose_nothing(spark, tmp_path):
+    """Plain class files in folders, and two archives that share names, as one tree and as one zip."""
+    root = tmp_path / "in"
+    for k in (1, 2):
+        (root / "lib").mkdir(parents=True, exist_ok=True)
+        (root / "lib" / f"x{k}.jar").write_bytes(stored([(f"p/{n}.class", ClassBuilder(f"p/{n}").build()) for n in ("A", "a", "B")]))
+    for n in ("A", "C"):
+        (root / "plain" / "p").mkdir(parents=True, exist_ok=True)
+        (root / "plain" / "p" / f"{n}.class").write_bytes(ClassBuilder(f"p/{n}").build())
+    found = sources.sources(ClassTables.scan(spark, str(root)))
+    out = tmp_path / "out"
+    want = {f"lib/x{k}/p/{n}.java" for k in (1, 2) for n in ("A", "a_0", "B")} | {"plain/p/A.java", "plain/p/C.java"}
+    assert sources.write_tree(found, str(out)) == 8
+    files = {str(p.relative_to(out)): p.read_text() for p in out.rglob("*") if p.is_file()}
+    assert set(files) == want and "class a_0" in files["lib/x1/p/a_0.java"]
+    assert sources.write_zip(found, str(tmp_path / "out.zip")) == 8
+    with zipfile.ZipFile(tmp_path / "out.zip") as z:
+        assert z.testzip() is None and {n: z.read(n).decode() for n in z.namelist()} == files
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["in", "out", "out.zip"]
+    one = sources.sources(ClassTables.scan(spark, str(root / "plain" / "p" / "C.class")))
+    assert sources.write_tree(one, str(tmp_path / "one")) == 1 and (tmp_path / "one" / "C.java").exists()
+    assert sources.write_zip(found.limit(0), str(tmp_path / "none.zip")) == 0 and zipfile.ZipFile(tmp_path / "none.zip").namelist() == []
+
+
+def test_imports_of_merged_classes(jar):
+    found = sources.sources(jar)
+    merged = {r.class_name: r.text for r in sources.merge_inner(jar, found).collect()}
+    text = merged["com.google.gson.internal.LinkedTreeMap"]
+    head = text.split("class LinkedTreeMap")[0]
+    assert head.count("import java.util.Iterator;") == 1 and "import java.util.ConcurrentModificationException;" in head and text.count("\npackage ") == 1
+    assert "com.google.gson.internal.LinkedTreeMap$Node" not in merged and "LinkedTreeMap$Node" in text
 
 
 def test_damaged_classes_never_fail_the_job(spark, tmp_path):

@@ -10,14 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.llm.common import discard, without, written
+from bytelake.llm.common import discard, small, without, written
 
 SHINGLE_WORDS = 5
 #: Buckets of shingle hashes by which document frequencies are kept: their table is of this size for any corpus.
 BUCKETS = 1 << 18
 BANDS, ROWS = 12, 4
-#: Tables of ids of at most this many rows (some 16 bytes each) are sent to every executor; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
 #: Random draws of the sampling are taken from a fixed pool of this size.
 POOL = 1 << 16
 #: ASCII punctuation and white space part words.
@@ -131,19 +129,14 @@ def _frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out, int(n[bucket < 0].sum())
 
 
-def _small(ids: DataFrame) -> DataFrame:
-    """A written table of ids, broadcast if it is of at most BROADCAST_ROWS rows; else a join with it is a shuffle."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
     """Of pairs (a, b) (a written table), those of at least that weighted Jaccard similarity. b is the side that many pairs share.
 
     Texts are sought by the pairs, so only those of pairs are moved.
     """
     leaders = written(pairs.select("b").distinct(), "leaders")
-    both = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(_small(pairs), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(_small(leaders), "b", "left_semi"), "b")
+    both = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(small(pairs), "a")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(small(leaders), "b", "left_semi"), "b")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, last, of_last = weights.value, None, None
@@ -169,30 +162,28 @@ def _compact(text: str) -> bytes:
     return np.repeat((h >> _U(32)).astype(np.uint32), n).tobytes()
 
 
-def _compare(mine: list[tuple], others: list[tuple] | None, idf: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Pairs (id, id) of members (id, label, compact hashes) of different labels that may be similar: of mine with others, or of mine among themselves.
+def _compare(mine: list[tuple], others: list[tuple], idf: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs (id, id) of members (id, label, compact hashes, of the largest class) of different labels that may be similar: of mine with others.
 
-    Overlaps are summed up through an index of the others' hashes, so the work is in what two texts share.
+    Overlaps are summed up through an index of the others' hashes, so the work is in what two texts share. A pair that is met from both sides, as neither is of
+    the band's largest class, is given once.
     """
-    first = mine if others is None else others
-    hashes = [np.unique(np.frombuffer(m[2], np.uint32), return_counts=True) for m in first]
-    owner = np.repeat(np.arange(len(first)), [len(h) for h, _ in hashes])
+    hashes = [np.unique(np.frombuffer(m[2], np.uint32), return_counts=True) for m in others]
+    owner = np.repeat(np.arange(len(others)), [len(h) for h, _ in hashes])
     flat = np.concatenate([h for h, _ in hashes]) if hashes else np.empty(0, np.uint32)
     weight = np.concatenate([n for _, n in hashes]) * idf[flat >> 14] if len(flat) else np.empty(0)
-    total = np.bincount(owner, weight, len(first))
+    total = np.bincount(owner, weight, len(others))
     order = np.argsort(flat, kind="stable")
     flat, owner, weight = flat[order], owner[order], weight[order]
-    ids, labels, out = np.array([m[0] for m in first]), np.array([m[1] for m in first]), []
-    for k, (i, label, raw) in enumerate(mine):
-        h, n = hashes[k] if others is None else np.unique(np.frombuffer(raw, np.uint32), return_counts=True)
+    ids, labels, largest, out = np.array([m[0] for m in others]), np.array([m[1] for m in others]), np.array([m[3] for m in others], bool), []
+    for i, label, raw, _ in mine:
+        h, n = np.unique(np.frombuffer(raw, np.uint32), return_counts=True)
         w = n * idf[h >> 14]
         lo, hi = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
         length = hi - lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(h) else np.empty(0, np.int64)
-        both = np.bincount(owner[at], np.minimum(weight[at], np.repeat(w, length)), len(first))
-        found = (both >= (similarity - 1e-6) * (total + w.sum() - both)) & (labels != label) & (ids != i) & (both > 0)
-        if others is None:
-            found[: k + 1] = False
+        both = np.bincount(owner[at], np.minimum(weight[at], np.repeat(w, length)), len(others))
+        found = (both >= (similarity - 1e-6) * (total + w.sum() - both)) & (labels != label) & (largest | (ids > i)) & (both > 0)
         out += [(i, int(j)) for j in ids[found]]
     return out
 
@@ -200,32 +191,36 @@ def _compare(mine: list[tuple], others: list[tuple] | None, idf: np.ndarray, sim
 def _all_pairs(active: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
     """Pairs (a, b) of one band and different labels, for verification: all of them in small bands, and in large ones those that may be similar.
 
-    A large band is cut into blocks of some BLOCK texts, and each two blocks are compared in one task; no pair is a row before it is found similar.
+    Of a large band, the members of its largest class are not compared with each other: all others, cut into blocks of some BLOCK texts, meet every block of the whole band, each two
+    blocks in one task. So a band of many copies and a few strangers costs its size times the strangers, and no pair is a row before it is found similar.
     """
-    sizes = written(active.groupBy("band").agg(F.count("*").alias("n")), "sizes")
+    classes = active.groupBy("band", "label").agg(F.count("*").alias("n"))
+    sizes = written(classes.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).select("band", "n", F.col("top.label").alias("top"), (F.col("n") - F.col("top.n")).alias("others")), "sizes")
     few = active.join(sizes.where(F.col("n") <= SMALL).select("band"), "band")
     other = few.select("band", F.col("id").alias("b"), F.col("label").alias("other"))
     pairs = few.withColumnRenamed("id", "a").join(other, "band").where("label < other").select("a", "b")
-    many = active.join(sizes.where(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "band")
-    many = many.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("band", "id", "label", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    ids = many.select("id").distinct()
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    probes = F.ceil(F.col("others") / BLOCK).cast("int")
+    many = active.join(sizes.where((F.col("n") > SMALL) & (F.col("others") > 0)), "band").withColumn("largest", F.col("label") == F.col("top"))
+    many = many.select("band", "id", "label", "largest", F.pmod(F.xxhash64("id"), probes).cast("int").alias("i"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("j"), probes.alias("probes"), blocks.alias("blocks"))
+    many = written(many, "large-bands")
+    asking = many.where("NOT largest").select("band", "id", "label", "largest", F.lit(True).alias("asks"), "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    asked = many.select("band", "id", "label", "largest", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("i"), "j")
+    meet = asking.unionByName(asked.select(*asking.columns))
+    ids = written(many.select("id").distinct(), "large-ids")
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_compact(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "hashes"])
 
-    hashes = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(compact, "id long, hashes binary")
+    hashes = texts.join(small(ids), "id", "left_semi").select("id", "text").mapInArrow(compact, "id long, hashes binary")
 
-    def blocks(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("id", "label", "hashes", "block")), strict=True))
-        rows = sorted({r[0]: r for r in rows}.values())
-        got = _compare([r[:3] for r in rows if r[3] == i], None if i == j else [r[:3] for r in rows if r[3] == j], weights.value.idf, similarity)
+    def compared(key, table):
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("id", "label", "hashes", "largest", "asks")), strict=True))
+        got = _compare(sorted(r[:4] for r in rows if r[4]), sorted(r[:4] for r in rows if not r[4]), weights.value.idf, similarity)
         return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
 
-    found = many.join(hashes, "id").groupBy("band", "i", "j").applyInArrow(blocks, "a long, b long")
+    found = meet.join(hashes, "id").groupBy("band", "i", "j").applyInArrow(compared, "a long, b long")
     return pairs.unionByName(found)
 
 
@@ -263,20 +258,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: doc_id, class_id (least id of its class), rep_id (least id of its text), n_copies (rows of its text), n_links.
 
     Two texts are linked if they share a band of samples and their weighted Jaccard similarity is at least `similarity`; a class is a connected component of
-    links. Equal texts are one node. n_links counts the links that were needed to find the classes of this text (0: it is alone or has exact copies only).
+    links. Equal texts are one node, however often a row of them is repeated. n_links counts the links that were needed to find the classes of this text (0: it is alone or has exact copies only).
 
     Texts that share a band are compared with two leaders of the band, drawn anew in each of `rounds` rounds, unless their classes are already one; after these
     rounds, all texts of a band whose classes still differ are compared, those of large bands block by block. So every link between different classes is found, and a band of many copies
-    costs its size times the leaders. Document frequencies are over all distinct texts, by hash bucket.
+    costs its size times the leaders, and times those of its texts that are not of its largest class. Document frequencies are over all distinct texts, by hash bucket.
 
     Texts without words (null, empty) are equal only to the same text: null counts as empty. Null ids come back once a row with null class_id, rep_id and n_links 0.
     Rows that repeat an id are classed by their own text. Other columns are ignored; an empty table gives no rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = base.select("id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("near"), "text").alias("h2"))
-    groups = written(keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep_id"), F.count("*").alias("n_copies")), "copies")
-    reps = groups.where("rep_id IS NOT NULL").select("h1", "h2", F.col("rep_id").alias("id"))
-    texts = written(keyed.join(reps, ["h1", "h2", "id"]).select("id", "text"), "texts")
+    groups = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep_id"), F.count("*").alias("n_copies"))
+    # numbers of texts, unique by construction and fixed from here on, as the table is written
+    groups = written(groups.withColumn("node", F.monotonically_increasing_id()), "copies")
+    reps = groups.where("rep_id IS NOT NULL").select("h1", "h2", F.col("rep_id").alias("id"), "node")
+    texts = written(keyed.join(reps, ["h1", "h2", "id"]).select(F.col("node").alias("id"), "text"), "texts")
+    if texts.count() > reps.count():  # rows that repeat both id and text
+        texts = written(texts.dropDuplicates(["id"]), "texts")
     frequencies, n_docs = _frequencies(texts)
     weights = docs.sparkSession.sparkContext.broadcast(Weights(frequencies, n_docs))
 
@@ -298,7 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     active = written(members.join(shared, "band").select("band", "id", F.col("id").alias("label")), "bands")
     # only these are compared: from here on, no text that shares no band is moved
     ids = written(active.select("id").distinct(), "near-ids")
-    near = written(texts.join(_small(ids), "id", "left_semi"), "near-texts")
+    near = written(texts.join(small(ids), "id", "left_semi"), "near-texts")
     discard(members, texts, ids, shared)
     links: list[DataFrame] = []
     label, stale = None, [active]
@@ -333,20 +332,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if active.isEmpty():
                 break
     discard(near)
-    rows = keyed.select("id", "h1", "h2").join(groups, ["h1", "h2"])
+    # classes and links are joined to texts, of which a hot one is a single row, and only then to rows: that join is by the text's hashes, and AQE may split it
+    found = groups.select("h1", "h2", "rep_id", "n_copies", "node")
     if links:
         every = reduce(DataFrame.union, links)
-        ends = every.select(F.explode(F.array("a", "b")).alias("rep_id")).groupBy("rep_id").agg(F.count("*").alias("n_links"))
-        rows = rows.join(ends, "rep_id", "left").join(label.withColumnRenamed("id", "rep_id"), "rep_id", "left")
+        ends = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+        linked = label.select(F.col("id").alias("node"), "label").join(ends, "node").join(groups.select("node", "rep_id"), "node")
+        least = linked.groupBy("label").agg(F.min("rep_id").alias("class_id"))
+        found = found.join(written(linked.join(least, "label").select("node", "class_id", "n_links"), "classes"), "node", "left")
     else:
-        rows = rows.withColumns({"n_links": F.lit(None).cast("long"), "label": F.lit(None).cast("long")})
+        found = found.withColumns({"n_links": F.lit(None).cast("long"), "class_id": F.lit(None).cast("long")})
+    found = written(found.select("h1", "h2", "rep_id", "n_copies", F.coalesce("class_id", "rep_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "text-classes")
+    rows = keyed.select("id", "h1", "h2").join(found, ["h1", "h2"])
     known = F.col("id").isNotNull()
     return rows.select(
         F.col("id").alias("doc_id"),
-        F.when(known, F.coalesce("label", "rep_id")).alias("class_id"),
+        F.when(known, F.col("class_id")).alias("class_id"),
         F.when(known, F.col("rep_id")).alias("rep_id"),
         "n_copies",
-        F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        F.when(known, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
     )
 
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from bytelake.llm import near_dedup
+from bytelake.llm import common, near_dedup
 from bytelake.llm.near_dedup import BUCKETS, Sampler, Weights, bucket_of, components, keep_one, near_duplicates, shingles, weighted_jaccard
 
 
@@ -49,9 +49,9 @@ def brute(rows):
 def test_equals_all_pairs(spark, rounds, small, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
-    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0 if rounds else 1_000_000)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0 if rounds else 1_000_000)
     rows = made() + [(9000, ""), (9001, None), (9002, "  \n")]
-    rows += [(9003, rows[3][1]), rows[5]]
+    rows += [(9003, rows[3][1]), rows[5], rows[5]]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, label int, __gone int")
     got = near_duplicates(docs, rounds=rounds).collect()
     assert {(r.doc_id, r.class_id, r.rep_id) for r in got} == brute(rows) and len(got) == len(rows)
@@ -107,3 +107,33 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(100, k) for k in range(101, 130)] + [(5, 5)]
     got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: i // 10 * 10 for i in range(41) if i != 40} | {k: 100 for k in range(100, 130)}
+
+
+def test_rows_that_repeat_id_and_text_count_once(spark):
+    text = [f"w{k}" for k in range(300)]
+    other = [*text[:150], "else", *text[151:]]
+    rows = [(4, " ".join(text)), (4, " ".join(text)), (4, " ".join(text)), (9, " ".join(other)), (9, " ".join(other)), (4, "the same id with quite another text in it")]
+    got = {(r.doc_id, r.class_id, r.rep_id, r.n_copies, r.n_links) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(4, 4, 4, 3, 1), (9, 4, 9, 2, 1), (4, 4, 4, 1, 0)}
+
+
+@pytest.mark.parametrize("copies", [600, 2400])
+def test_strangers_in_a_large_band_cost_its_size(spark, copies, monkeypatch):
+    """Near copies of one text and a few others that share its band: what is compared grows with the band, not with its square."""
+    rng = random.Random(copies)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    base, stranger = [word() for _ in range(60)], [word() for _ in range(60)]
+    rows = [(i, f"{' '.join(base)} {word()}") for i in range(copies)] + [(10_000 + i, f"{' '.join(stranger)} {word()}") for i in range(3)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    active = spark.createDataFrame([(7, i, 0 if i < 10_000 else 10_000) for i, _ in rows] + [(8, i, i) for i in (0, 10_000)], "band long, id long, label long")
+    weights = spark.sparkContext.broadcast(Weights(np.ones(BUCKETS, np.int64), len(rows)))
+    meet = spark.sparkContext.accumulator(0)
+    inner = near_dedup._compare
+
+    def counted(mine, others, *rest):
+        meet.add(len(mine) * len(others))
+        return inner(mine, others, *rest)
+
+    monkeypatch.setattr(near_dedup, "_compare", counted)
+    got = {tuple(r) for r in near_dedup._all_pairs(active, texts, weights, 0.8).collect()}
+    assert got == {(0, 10_000)} and meet.value == 3 * (copies + 3)  # the small band's pair is left to verification

@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelake.llm.common import written
+from bytelake.llm.common import small, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The records carry no crawl time of their own; all get this date.
 DATE = "2020-01-01T00:00:00Z"
 _NAMESPACE = 0x6279_7465_6C61_8B65  # upper half of our record ids
 _NONE = _NAMESPACE ^ 1
+#: Digests (some 100 bytes each) that are sent to every executor at most; more of them are joined by a shuffle.
+SHARED_ROWS = 200_000
 
 
 def digest(data: bytes) -> str:
@@ -96,28 +98,63 @@ def _headers(lines: Iterable[bytes]) -> dict[str, str]:
     return out
 
 
-def members(chunks: Iterable[bytes], step: int = 1 << 16) -> Iterator[tuple[int, bytes, str | None]]:
-    """(offset, content, error) of each gzip member of a stream of chunks. After an error the stream cannot be followed, so it ends there."""
-    unzip, offset, read, content = None, 0, 0, []
-    for chunk in chunks:
-        view = memoryview(chunk)
-        while len(view):
+MAGIC = b"\x1f\x8b\x08"
+#: Compressed bytes that are tried to see whether a record starts there.
+PROBE = 4096
+
+
+def _starts_record(data: bytes) -> bool:
+    """Whether a gzip member that starts with these bytes holds a WARC record."""
+    try:
+        return zlib.decompressobj(31).decompress(data, 5) == b"WARC/"
+    except zlib.error:
+        return False
+
+
+def members(chunks: Iterable[bytes], step: int = 1 << 14) -> Iterator[tuple[int, bytes, str | None]]:
+    """(offset, content, error) of each gzip member of a stream of chunks. A bad member ends where the next one that holds a WARC record starts; it is sought from behind the bad one's first byte.
+
+    At most one member is held at a time, with its compressed bytes, so that a bad one can be searched.
+    """
+    source, held, base = iter(chunks), bytearray(), 0  # held starts at the stream's byte base
+    begin, at, ended, seeking, unzip, content = 0, 0, False, False, None, []
+    while True:
+        if seeking:
+            found = held.find(MAGIC, at)
+            if found >= 0 and (ended or len(held) - found >= PROBE):
+                seeking = not _starts_record(bytes(held[found : found + PROBE]))
+                at = found + seeking
+                continue
+            if ended:
+                return
+            at = found if found >= 0 else max(at, len(held) - len(MAGIC) + 1)
+        elif at < len(held):
             if unzip is None:
-                unzip, content, offset = zlib.decompressobj(31), [], read
-            part = view[:step]
+                unzip, content, begin = zlib.decompressobj(31), [], at
+            part = bytes(held[at : at + step])
             try:
                 content.append(unzip.decompress(part))
             except zlib.error as e:
-                yield offset, b"".join(content), f"bad gzip data: {e}"
-                return
-            used = len(part) - len(unzip.unused_data)
-            read += used
-            view = view[used:]
+                yield base + begin, b"".join(content), f"bad gzip data: {e}"
+                unzip, seeking, at = None, True, begin + 1
+                continue
+            at += len(part) - len(unzip.unused_data)
             if unzip.eof:
-                yield offset, b"".join(content), None
+                yield base + begin, b"".join(content), None
                 unzip = None
-    if unzip is not None:
-        yield offset, b"".join(content), "the last member is cut off"
+            continue
+        elif ended:
+            if unzip is None:
+                return
+            yield base + begin, b"".join(content), "the last member is cut off"
+            unzip, seeking, at = None, True, begin + 1  # what follows a bad length may have been taken for part of it
+            continue
+        chunk = next(source, None)
+        ended = chunk is None
+        gone = at if unzip is None else begin
+        del held[:gone]
+        base, at, begin = base + gone, at - gone, begin - gone
+        held += chunk or b""
 
 
 def _parsed(offset: int, data: bytes) -> Record:
@@ -155,13 +192,16 @@ def read(chunks: Iterable[bytes]) -> Iterator[Record]:
 def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", target_bytes: int = 8_000_000) -> DataFrame:
     """Archives of one record per page: (archive, content), each closed at the first record past target_bytes.
 
+    Only the digests of payloads that several pages share are joined back to the pages, so payloads are not moved while these are at most SHARED_ROWS (counted first).
+
     Of pages with equal payloads (html in UTF-8; null is empty), that with the largest id is the response and the others are revisits
     of it. Rows that repeat this id are responses too; a null id comes before every other. A null URL is empty. Other columns are ignored; an empty table gives no archives.
     """
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    base = base.withColumn("key", F.sha2("payload", 256))
-    # written, so that the join's two sides come from shuffles of their own and AQE may split a payload that many pages share
-    last = written(base.groupBy("key").agg(F.max("page_id").alias("last")), "payloads")
+    base = base.withColumn("key", F.unhex(F.sha2("payload", 256)))
+    shared = base.groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("key", "last", F.lit(True).alias("again"))
+    # written: it is counted, and where it is large, AQE may split a payload that many pages share
+    shared = small(written(shared, "payloads"), SHARED_ROWS)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -179,12 +219,37 @@ def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
         if out:
             yield row()
 
-    return base.join(last, "key").select("page_id", "url", "payload", "last").mapInArrow(part, "archive string, content binary")
+    last = F.when(F.col("again"), F.col("last")).otherwise(F.col("page_id")).alias("last")
+    return base.join(shared, "key", "left").select("page_id", "url", "payload", last).mapInArrow(part, "archive string, content binary")
 
 
 RECORDS = "archive string, offset long, page_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, error string"
 
 
+def _rows(name: str, found: Iterable[Record], with_payload: bool) -> Iterator[pa.RecordBatch]:
+    """Records of one archive as batches of RECORDS, of some 4 MB of payload each."""
+    names = [x.split()[0] for x in RECORDS.split(", ")]
+    kinds = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in RECORDS.split(", ")]
+    flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    rows, size = [], 0
+    for r in found:
+        http, payload = r.http()
+        said = r.headers.get("warc-payload-digest", "").partition(":")[2] or None
+        length = http.get("content-length", "") if r.kind == "revisit" else str(len(payload))
+        rows.append(
+            (
+                name, r.offset, page_id_of(r.headers.get("warc-record-id")), r.kind, r.headers.get("warc-target-uri"), int(length) if length.isdigit() else None,
+                said, page_id_of(r.headers.get("warc-refers-to")), payload if with_payload and r.kind == "response" else None, r.error,
+            )
+        )
+        size += len(payload)
+        if size > 4_000_000:
+            yield flush(rows)
+            rows, size = [], 0
+    if rows:
+        yield flush(rows)
+
+
 def records(found: DataFrame, name_col: str = "archive", content_col: str = "content", with_payload: bool = True) -> DataFrame:
     """Records of archives (name, content), in the columns RECORDS.
 
@@ -193,35 +258,35 @@ def records(found: DataFrame, name_col: str = "archive", content_col: str = "con
     """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORDS.split(", ")]
-        kinds = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in RECORDS.split(", ")]
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows, size = [], 0
-
-                def flush(rows):
-                    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-                for r in read([content.as_py() or b""]):
-                    http, payload = r.http()
-                    said = r.headers.get("warc-payload-digest", "").partition(":")[2] or None
-                    length = http.get("content-length", "") if r.kind == "revisit" else str(len(payload))
-                    rows.append(
-                        (
-                            name.as_py(), r.offset, page_id_of(r.headers.get("warc-record-id")), r.kind, r.headers.get("warc-target-uri"), int(length) if length.isdigit() else None,
-                            said, page_id_of(r.headers.get("warc-refers-to")), payload if with_payload and r.kind == "response" else None, r.error,
-                        )
-                    )
-                    size += len(payload)
-                    if size > 4_000_000:
-                        yield flush(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield flush(rows)
+                yield from _rows(name.as_py(), read([content.as_py() or b""]), with_payload)
 
     return found.select(name_col, content_col).mapInArrow(part, RECORDS)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the .warc.gz files under a path."""
-    return records(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path), "path", "content")
+def _stream(path: str, size: int = 1 << 20) -> Iterator[bytes]:
+    """Chunks of a file by its URI, in any file system that Arrow reads."""
+    from urllib.parse import unquote, urlsplit
+
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        system, where = fs.LocalFileSystem(), unquote(urlsplit(path).path)
+    else:
+        system, where = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(where, compression=None) as f:
+        while chunk := f.read(size):
+            yield chunk
+
+
+def read_files(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """Records of the .warc.gz files under a path, in the columns RECORDS. Files are streamed in chunks, so they may be of any size: only one record at a time is held whole."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").load(path).select("path")
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                yield from _rows(name, read(_stream(name)), with_payload)
+
+    return listed.mapInArrow(part, RECORDS)

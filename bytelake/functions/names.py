@@ -75,10 +75,10 @@ def lattice_merge(c: Column, unknown: str = "Unknown") -> Column:
 
 
 def rename_word(text: Column, old: str, new: str) -> Column:
-    """Every whole occurrence of an identifier; a dollar sign is part of a name."""
+    """Every whole occurrence of an identifier; a dollar sign is part of a name, as are the letters and digits of all scripts."""
     import re
 
-    return F.regexp_replace(text, rf"(?<![\w$]){re.escape(old)}(?![\w$])", new.replace("$", r"\$"))
+    return F.regexp_replace(text, rf"(?U)(?<![\w$]){re.escape(old)}(?![\w$])", new.replace("$", r"\$"))
 
 
 def flags(c: Column, names: dict[int, str]) -> Column:
@@ -92,7 +92,7 @@ _PIECES = r'(?s)"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|//[^\n]*|/\*.*?\*/|[^"\'/
 
 def rename_type(text: Column, old: Column, new: Column) -> Column:
     """Java source with one of its types renamed: its declaration and constructors, and its uses as a type. Members and variables that are called the same stay, as do strings and comments."""
-    name = F.concat(F.lit(r"(?<![\w$.])\Q"), old, F.lit(r"\E(?![\w$])"))
+    name = F.concat(F.lit(r"(?U)(?<![\w$.])\Q"), old, F.lit(r"\E(?![\w$])"))
     to = F.regexp_replace(new, r"\$", r"\\\$")
     places = [
         (r"(?<=\b(?:class|interface|enum|extends|implements|throws|new|instanceof|catch \()\s{1,3})", ""),  # after a word that a type follows

@@ -89,14 +89,13 @@ def unique_paths(found: DataFrame, within: tuple[str, ...] = ("archive",)) -> Da
     """
     key = [*within, "__lower"]
     rows = found.withColumn("__lower", F.lower("path")).withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("path", "class_id")))
-    clash = rows.where("__n > 1").groupBy(*key).agg(F.count("*").cast("int").alias("__more"))
     # numbers that other paths have taken of a stem
-    numbered = rows.where("__n = 1").select(*within, F.regexp_replace("__lower", r"_([0-9]{1,9})\.java$", ".java").alias("__stem"), F.regexp_extract("__lower", r"_(0|[1-9][0-9]{0,8})\.java$", 1).alias("__taken")).where("__taken <> ''")
-    numbered = numbered.join(clash.select(*within, F.col("__lower").alias("__stem")), [*within, "__stem"], "left_semi").groupBy(*within, "__stem").agg(F.collect_set(F.col("__taken").cast("int")).alias("__taken"))
-    free = clash.join(numbered.withColumnRenamed("__stem", "__lower"), key, "left").withColumn("__taken", F.coalesce("__taken", F.array().cast("array<int>")))
-    free = free.select(*key, F.array_except(F.sequence(F.lit(0), F.col("__more") + F.size("__taken")), F.col("__taken")).alias("__free"))
-    rows = rows.join(free, key, "left").withColumn("__old", F.regexp_extract("path", r"([^/]*)\.java$", 1))
-    rows = rows.withColumn("__new", F.concat("__old", F.lit("_"), F.get("__free", F.col("__n") - 2).cast("string")))
+    clash = rows.where("__n = 2").select(*within, F.col("__lower").alias("__stem"))
+    taken = rows.where("__n = 1").select(*within, F.regexp_replace("__lower", r"_([0-9]{1,9})\.java$", ".java").alias("__stem"), F.regexp_extract("__lower", r"_(0|[1-9][0-9]{0,8})\.java$", 1).alias("__taken")).where("__taken <> ''")
+    taken = taken.join(clash, [*within, "__stem"], "left_semi").groupBy(*within, F.col("__stem").alias("__lower")).agg(F.sort_array(F.collect_set(F.col("__taken").cast("int"))).alias("__taken"))
+    rows = rows.join(taken, key, "left").withColumn("__old", F.regexp_extract("path", r"([^/]*)\.java$", 1))
+    free = F.aggregate(F.coalesce("__taken", F.array().cast("array<int>")), F.col("__n") - 2, lambda k, t: F.when(t <= k, k + 1).otherwise(k))
+    rows = rows.withColumn("__new", F.concat("__old", F.lit("_"), free.cast("string")))
     path = F.concat(F.regexp_extract("path", r"^(.*/)?[^/]*$", 1), "__new", F.lit(".java"))
     moved = {"path": path, "text": rename_type(F.col("text"), F.col("__old"), F.col("__new"))}
     return rows.select(*[F.when(F.col("__n") == 1, F.col(c)).otherwise(moved[c]).alias(c) if c in moved else F.col(c) for c in found.columns])

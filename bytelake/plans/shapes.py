@@ -212,32 +212,30 @@ def d_truncate_first(spark, sf_dir):
 
 @shape(
     """
-    WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, (l_suppkey * 7 + l_linenumber) % 100 AS b FROM lineitem WHERE l_suppkey < 100 AND l_linenumber <= 2),
-    r AS (SELECT a AS root, b AS node FROM e WHERE a < 5 UNION SELECT r.root, e.b FROM r JOIN e ON r.node = e.a)
+    WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, (l_suppkey + l_linenumber) // 3 AS b FROM lineitem),
+    r AS (SELECT a AS root, b AS node FROM e UNION SELECT r.root, e.b FROM r JOIN e ON r.node = e.a)
     SELECT root, node FROM r
     """
 )
 def d_closure(spark, sf_dir):
-    """What each root reaches along edges with cycles: only new pairs are carried on."""
-    line = table(spark, sf_dir, "lineitem").where("l_suppkey < 100 AND l_linenumber <= 2")
-    edges = line.select(F.col("l_suppkey").alias("a"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 100).alias("b")).distinct()
-    return closure(edges, edges.where("a < 5").select(F.col("a").alias("root"), F.col("b").alias("node")), ["root"])
+    """What each root reaches along edges with cycles: only new pairs are carried on. Edges lead to about a third of a number, so what one root reaches grows with the digits of the largest."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), F.expr("(l_suppkey + l_linenumber) div 3").alias("b")).distinct()
+    return closure(edges, edges.select(F.col("a").alias("root"), F.col("b").alias("node")), ["root"])
 
 
 @shape(
     """
-    WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, (l_suppkey * 7 + l_linenumber) % 100 AS b FROM lineitem WHERE l_suppkey < 100 AND l_linenumber <= 2),
-    r AS (SELECT a AS root, b AS node FROM e WHERE a < 5 UNION SELECT r.root, e.b FROM r JOIN e ON r.node = e.a),
-    f AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 50 AS member FROM lineitem WHERE l_suppkey < 100 AND l_returnflag = 'R')
-    SELECT DISTINCT m.s AS root, m.member FROM f m WHERE m.s < 5 AND EXISTS (SELECT 1 FROM r JOIN f o ON o.s = r.node WHERE r.root = m.s AND r.node <> m.s AND o.member = m.member)
+    WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, (l_suppkey + l_linenumber) // 3 AS b FROM lineitem),
+    r AS (SELECT a AS root, b AS node FROM e UNION SELECT r.root, e.b FROM r JOIN e ON r.node = e.a),
+    f AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS member FROM lineitem WHERE l_returnflag = 'R')
+    SELECT DISTINCT m.s AS root, m.member FROM f m WHERE EXISTS (SELECT 1 FROM r JOIN f o ON o.s = r.node WHERE r.root = m.s AND r.node <> m.s AND o.member = m.member)
     """
 )
 def d_override_semi(spark, sf_dir):
     """Members that something reachable holds too."""
-    line = table(spark, sf_dir, "lineitem").where("l_suppkey < 100")
-    members = line.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 50).alias("member")).distinct()
+    members = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("member")).distinct()
     above = d_closure(spark, sf_dir).where("root <> node").join(members.withColumnRenamed("s", "node"), "node").select("root", "member")
-    return members.where("s < 5").withColumnRenamed("s", "root").join(above, ["root", "member"], "left_semi")
+    return members.withColumnRenamed("s", "root").join(above, ["root", "member"], "left_semi")
 
 
 @shape("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
@@ -249,26 +247,30 @@ def d_anti_visited(spark, sf_dir):
 
 @shape(
     """
-    WITH r AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS rn FROM part)
-    SELECT p_partkey, CASE WHEN rn = 1 THEN p_name ELSE p_name || '_' || (rn - 2) END AS path FROM r
+    WITH r AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_name, lpad(p_partkey::VARCHAR, 20, '0')) AS rn FROM part)
+    SELECT p_partkey, CASE WHEN rn = 1 THEN p_name ELSE p_name || '_' || (rn - 2) END || '.java' AS path FROM r
     """
 )
 def d_case_collide(spark, sf_dir):
     """Names that are equal but for case: the first keeps its own, the others get a number."""
-    rn = F.row_number().over(Window.partitionBy(F.lower("p_name")).orderBy("p_partkey"))
-    rows = table(spark, sf_dir, "part").withColumn("rn", rn)
-    return rows.select("p_partkey", F.when(F.col("rn") == 1, F.col("p_name")).otherwise(F.concat("p_name", F.lit("_"), (F.col("rn") - 2).cast("string"))).alias("path"))
+    from bytelake.operators.sources import unique_paths
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lpad(F.col("p_partkey").cast("string"), 20, "0").alias("class_id"), F.concat("p_name", F.lit(".java")).alias("path"), F.lit("").alias("text"))
+    return unique_paths(rows, ()).select("p_partkey", "path")
 
 
 @shape(
     """
-    SELECT l_linenumber, (l_linenumber & 1) <> 0 AS is_public, (l_linenumber & 2) <> 0 AS is_private, (l_linenumber & 4) <> 0 AS is_protected, count(*) AS n FROM lineitem GROUP BY l_linenumber
+    SELECT l_linenumber, concat_ws(' ', CASE WHEN l_linenumber & 1 <> 0 THEN 'public' END, CASE WHEN l_linenumber & 2 <> 0 THEN 'private' END, CASE WHEN l_linenumber & 4 <> 0 THEN 'protected' END) AS flags, count(*) AS n
+    FROM lineitem GROUP BY l_linenumber
     """
 )
 def d_flag_decode(spark, sf_dir):
     """Access flags from bits."""
-    bit = lambda k: F.col("l_linenumber").bitwiseAND(k) != 0
-    return table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("n")).select("l_linenumber", bit(1).alias("is_public"), bit(2).alias("is_private"), bit(4).alias("is_protected"), "n")
+    from bytelake.functions.names import flags
+
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("n"))
+    return counts.select("l_linenumber", flags(F.col("l_linenumber"), {1: "public", 2: "private", 4: "protected"}).alias("flags"), "n")
 
 
 @shape(
@@ -286,7 +288,9 @@ def d_imports(spark, sf_dir):
 @shape("SELECT page_id, array_reverse(string_split(url, '.'))[1] AS short_name FROM pages")
 def d_short_name(spark, sf_dir):
     """What follows the last dot."""
-    return table(spark, sf_dir, "pages").select("page_id", F.substring_index("url", ".", -1).alias("short_name"))
+    from bytelake.functions.names import short_name
+
+    return table(spark, sf_dir, "pages").select("page_id", short_name(F.col("url")).alias("short_name"))
 
 
 @shape(
@@ -304,11 +308,23 @@ def d_deobf(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", readable_name(token).alias("name"))
 
 
-@shape(r"SELECT doc_id, md5(regexp_replace(text, '\bthe\b', 'THE_0', 'g')) AS renamed, (length(text) - length(regexp_replace(text, '\bthe\b', '', 'g'))) // 3 AS n FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')")
+_WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}$"
+
+
+@shape(
+    # a separator is used up by the word before it, so the second pass finds what stands behind a word that was found
+    rf"""
+    WITH o AS (SELECT doc_id, text, regexp_replace(text, '(^|[^{_WORD}])the($|[^{_WORD}])', '\1THE_0\2', 'g') AS x FROM documents),
+    t AS (SELECT doc_id, text, regexp_replace(x, '(^|[^{_WORD}])the($|[^{_WORD}])', '\1THE_0\2', 'g') AS renamed FROM o)
+    SELECT doc_id, md5(renamed) AS renamed, (length(renamed) - length(text)) // 2 AS n FROM t
+    """
+)
 def d_rename_token(spark, sf_dir):
-    """Whole-word renaming in text (the oracle's word boundary knows ASCII only, so the texts here are ASCII)."""
-    text = table(spark, sf_dir, "documents").where("lang = 'en' AND NOT text RLIKE '[^\\\\x00-\\\\x7F]'")
-    return text.select("doc_id", F.md5(F.regexp_replace("text", r"\bthe\b", "THE_0").cast("binary")).alias("renamed"), F.regexp_count("text", F.lit(r"\bthe\b")).cast("long").alias("n"))
+    """Whole-word renaming in all texts."""
+    from bytelake.functions.names import rename_word
+
+    renamed = rename_word(F.col("text"), "the", "THE_0")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(renamed.cast("binary")).alias("renamed"), ((F.length(renamed) - F.length("text")) / 2).cast("long").alias("n"))
 
 
 @shape("SELECT l_orderkey, CASE WHEN count(DISTINCT nullif(l_linestatus, 'O')) = 1 THEN min(nullif(l_linestatus, 'O')) ELSE 'Unknown' END AS merged FROM lineitem GROUP BY l_orderkey")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelake.operators.store import written
+from bytelake.operators.store import discard, written
+
+
+#: Paths that one task joins with each other rather than all tasks.
+FEW = 50_000
 
 
 def closure(edges: DataFrame, seed: DataFrame, owner: list[str], within: list[str] | None = None, steps: int = 3) -> DataFrame:
@@ -38,13 +42,19 @@ def closure(edges: DataFrame, seed: DataFrame, owner: list[str], within: list[st
 def transitive(edges: DataFrame) -> DataFrame:
     """Rows (a, b) for every path from a to b along edges (a, b), cycles included.
 
-    Paths double in length each round, so the rounds are as many as the longest shortest path has binary digits; for graphs whose whole closure is wanted and is not much larger than they are,
-    such as type hierarchies.
+    Paths double in length twice a round, so the rounds are as many as the longest shortest path has digits to the base four; for graphs whose whole closure is wanted and is not much larger than they are, such
+    as type hierarchies. Each round is a table in the shared folder, with the length of the shortest path: once none is as long as a round allows, there is no longer one. While a round starts from at most FEW
+    paths, it is the work of one task, as moving them would cost more.
     """
-    known = written(edges.select("a", "b").distinct(), "paths")
+    known, reach = written(edges.select("a", "b", F.lit(1).alias("n")).distinct(), "paths"), 1
     while True:
-        step = known.join(known.select(known["a"].alias("b"), known["b"].alias("c")), "b").select("a", "c").withColumnRenamed("c", "b")
-        new = written(step.distinct().join(known, ["a", "b"], "left_anti"), "paths")
-        if new.isEmpty():
-            return known
-        known = written(known.union(new), "paths")
+        old = known
+        if known.count() <= FEW:
+            known = known.coalesce(1)
+        for _ in range(2):
+            step = known.join(known.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("n").alias("m")), "b").select("a", F.col("c").alias("b"), (F.col("n") + F.col("m")).alias("n"))
+            known = known.union(step).groupBy("a", "b").agg(F.min("n").alias("n"))
+        known, reach = written(known, "paths"), 4 * reach
+        discard(old)
+        if (known.agg(F.max("n")).first()[0] or 0) < reach:
+            return known.select("a", "b")

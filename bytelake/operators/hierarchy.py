@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bytelake.operators.graph import transitive
 from bytelake.operators.resolve import class_headers, method_headers
+from bytelake.operators.store import written
 from bytelake.sources.classes import ClassTables
 
 #: Methods of java.lang.Object that need no class path to be known as overridden (fixed values).
@@ -37,12 +38,14 @@ def ancestors(headers: DataFrame) -> DataFrame:
 def overrides(t: ClassTables, also: ClassTables | None = None) -> DataFrame:
     """(class_id, seq, name, descriptor, ancestor): methods that override one of an ancestor on the class path: neither is static, the ancestor's is not private, and constructors never do.
     Of several ancestors, the first by name. also: a class path behind the scanned classes themselves."""
-    own, methods = class_headers(t), method_headers(t)
-    headers = classpath(own, *([class_headers(also)] if also is not None else []))
+    own, methods = written(class_headers(t), "headers"), method_headers(t)
+    headers = written(classpath(own, class_headers(also)), "headers") if also is not None else classpath(own)
     every = methods.unionByName(method_headers(also)) if also is not None else methods
     mine = methods.where((F.col("access").bitwiseAND(0x8) == 0) & ~F.col("name").startswith("<")).join(own.select("class_id", F.col("name").alias("class_name")), "class_id")
     above = every.where(F.col("access").bitwiseAND(0xA) == 0).join(headers.select("class_id", F.col("name").alias("ancestor")), "class_id").select("ancestor", "name", "descriptor").distinct()
-    pairs = ancestors(headers).withColumnRenamed("name", "class_name").where("class_name <> ancestor")
+    # only ancestors whose methods are known can be overridden, and they are reached through such only: the others' edges are not followed
+    known = supertypes(headers).join(headers.select(F.col("name").alias("b")), "b", "left_semi")
+    pairs = transitive(known).select(F.col("a").alias("class_name"), F.col("b").alias("ancestor")).where("class_name <> ancestor")
     found = mine.join(pairs, "class_name").join(above, ["ancestor", "name", "descriptor"])
     return found.groupBy("class_id", "seq", "name", "descriptor").agg(F.min("ancestor").alias("ancestor"))
 

@@ -1,8 +1,11 @@
-"""The constant pool dereferenced: every reference with the names it stands for, by joins within a class."""
+"""The constant pool dereferenced: every reference with the names it stands for.
+
+A class's pool lies in the class's row, at the places of its indexes. So what an index stands for is looked up there, and nothing is joined or shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytelake.functions import names as N
@@ -13,31 +16,56 @@ def _text(cp: DataFrame, as_idx: str, as_text: str) -> DataFrame:
     return cp.where("kind = 'Utf8' AND status = 'present'").select("class_id", F.col("idx").alias(as_idx), F.col("utf8").alias(as_text))
 
 
+def utf8_at(idx: Column) -> Column:
+    """The text at an index of the row's pool, or null."""
+    entry = F.get("cp", idx)
+    return F.when((entry["kind"] == "Utf8") & (entry["status"] == "present"), entry["utf8"])
+
+
+def class_at(idx: Column) -> Column:
+    """The dotted name of the Class entry at an index, class#idx where it leads nowhere, or null where there is no such entry."""
+    entry = F.get("cp", idx)
+    return F.when(entry["kind"] == "Class", F.coalesce(N.dotted(utf8_at(entry["ref1"])), F.concat(F.lit("class#"), idx.cast("string"))))
+
+
 def class_names(t: ClassTables) -> DataFrame:
     """(class_id, idx, name): Class entries with their dotted names."""
-    classes = t.cp.where("kind = 'Class'").select("class_id", "idx", F.col("ref1").alias("text_idx"))
-    return classes.join(_text(t.cp, "text_idx", "text"), ["class_id", "text_idx"], "left").select("class_id", "idx", F.coalesce(N.dotted(F.col("text")), F.concat(F.lit("class#"), "idx")).alias("name"))
+    classes = F.filter("cp", lambda e: e["kind"] == "Class")
+    return t.rows.select("class_id", F.inline(F.transform(classes, lambda e: F.struct(e["idx"].alias("idx"), F.coalesce(N.dotted(utf8_at(e["ref1"])), F.concat(F.lit("class#"), e["idx"].cast("string"))).alias("name")))))
+
+
+def _pair(idx: Column, part: str) -> Column:
+    """The name (ref1) or descriptor (ref2) of the NameAndType entry at an index, or null."""
+    entry = F.get("cp", idx)
+    return F.when(entry["kind"] == "NameAndType", utf8_at(entry[part]))
 
 
 def name_and_types(t: ClassTables) -> DataFrame:
     """(class_id, idx, name, descriptor): NameAndType entries."""
-    pairs = t.cp.where("kind = 'NameAndType'").select("class_id", "idx", F.col("ref1").alias("name_idx"), F.col("ref2").alias("desc_idx"))
-    pairs = pairs.join(_text(t.cp, "name_idx", "name"), ["class_id", "name_idx"], "left").join(_text(t.cp, "desc_idx", "descriptor"), ["class_id", "desc_idx"], "left")
-    return pairs.select("class_id", "idx", "name", "descriptor")
+    pairs = F.filter("cp", lambda e: e["kind"] == "NameAndType")
+    return t.rows.select("class_id", F.inline(F.transform(pairs, lambda e: F.struct(e["idx"].alias("idx"), utf8_at(e["ref1"]).alias("name"), utf8_at(e["ref2"]).alias("descriptor")))))
 
 
 def references(t: ClassTables) -> DataFrame:
-    """(class_id, idx, kind, owner, name, descriptor): field and method references, and dynamic call sites (whose owner is null).
+    """(class_id, idx, kind, owner, bootstrap, name, descriptor): field and method references, and dynamic call sites (whose owner is null).
 
     A reference that leads nowhere keeps its row, with the name field#idx or method#idx.
     """
-    refs = t.cp.where("kind IN ('Fieldref', 'Methodref', 'InterfaceMethodref', 'InvokeDynamic', 'Dynamic')").select("class_id", "idx", "kind", F.col("ref1").alias("owner_idx"), F.col("ref2").alias("pair_idx"))
-    owners = class_names(t).select("class_id", F.col("idx").alias("owner_idx"), F.col("name").alias("owner"))
-    pairs = name_and_types(t).withColumnRenamed("idx", "pair_idx")
-    dynamic = F.col("kind").isin("InvokeDynamic", "Dynamic")
-    rows = refs.join(owners, ["class_id", "owner_idx"], "left").join(pairs, ["class_id", "pair_idx"], "left")
-    placeholder = F.concat(F.when(F.col("kind") == "Fieldref", "field#").otherwise("method#"), "idx")
-    return rows.select("class_id", "idx", "kind", F.when(~dynamic, F.col("owner")).alias("owner"), F.when(dynamic, F.col("owner_idx")).alias("bootstrap"), F.coalesce("name", placeholder).alias("name"), "descriptor")
+    found = F.filter("cp", lambda e: e["kind"].isin("Fieldref", "Methodref", "InterfaceMethodref", "InvokeDynamic", "Dynamic"))
+
+    def one(e: Column) -> Column:
+        dynamic = e["kind"].isin("InvokeDynamic", "Dynamic")
+        placeholder = F.concat(F.when(e["kind"] == "Fieldref", "field#").otherwise("method#"), e["idx"].cast("string"))
+        return F.struct(
+            e["idx"].alias("idx"),
+            e["kind"].alias("kind"),
+            F.when(~dynamic, class_at(e["ref1"])).alias("owner"),
+            F.when(dynamic, e["ref1"]).alias("bootstrap"),
+            F.coalesce(_pair(e["ref2"], "ref1"), placeholder).alias("name"),
+            _pair(e["ref2"], "ref2").alias("descriptor"),
+        )
+
+    return t.rows.select("class_id", F.inline(F.transform(found, one)))
 
 
 def constants(t: ClassTables) -> DataFrame:
@@ -55,22 +83,18 @@ def constants(t: ClassTables) -> DataFrame:
 
 def class_headers(t: ClassTables) -> DataFrame:
     """(class_id, archive, path, name, super_name, access, interfaces): one row per class that could be read. Interfaces that do not resolve are left out."""
-    names = class_names(t)
-    rows = t.classes.where("status = 'ok'").select("class_id", "archive", "path", "access", "this_idx", "super_idx")
-    rows = rows.join(names.select("class_id", F.col("idx").alias("this_idx"), "name"), ["class_id", "this_idx"], "left")
-    rows = rows.join(names.select("class_id", F.col("idx").alias("super_idx"), F.col("name").alias("super_name")), ["class_id", "super_idx"], "left")
-    faces = t.interfaces.join(names.select("class_id", F.col("idx").alias("cp"), F.col("name").alias("face")), ["class_id", "cp"])
-    faces = faces.groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "face"))), lambda x: x["face"]).alias("interfaces"))
-    empty = F.array().cast("array<string>")
-    return rows.join(faces, "class_id", "left").select("class_id", "archive", "path", "name", "super_name", "access", F.coalesce("interfaces", empty).alias("interfaces"))
+    faces = F.array_compact(F.transform(F.array_sort("interfaces", lambda a, b: a["seq"] - b["seq"]), lambda x: class_at(x["cp"])))
+    return t.rows.where("status = 'ok'").select("class_id", "archive", "path", class_at(F.col("this_idx")).alias("name"), class_at(F.col("super_idx")).alias("super_name"), "access", faces.alias("interfaces"))
 
 
 def members(t: ClassTables, kind: str = "methods") -> DataFrame:
     """(class_id, seq, access, name, descriptor, signature, deprecated): fields or methods with their names; unresolvable ones as field#seq or method#seq."""
-    text = lambda a, b: _text(t.cp, a, b)
-    rows = getattr(t, kind).select("class_id", "seq", "access", "name_idx", "desc_idx", "sig_idx", "deprecated")
-    rows = rows.join(text("name_idx", "name"), ["class_id", "name_idx"], "left").join(text("desc_idx", "descriptor"), ["class_id", "desc_idx"], "left").join(text("sig_idx", "signature"), ["class_id", "sig_idx"], "left")
-    return rows.select("class_id", "seq", "access", F.coalesce("name", F.concat(F.lit(f"{kind[:-1]}#"), "seq")).alias("name"), "descriptor", "signature", "deprecated")
+
+    def one(m: Column) -> Column:
+        name = F.coalesce(utf8_at(m["name_idx"]), F.concat(F.lit(f"{kind[:-1]}#"), m["seq"].cast("string")))
+        return F.struct(m["seq"].alias("seq"), m["access"].alias("access"), name.alias("name"), utf8_at(m["desc_idx"]).alias("descriptor"), utf8_at(m["sig_idx"]).alias("signature"), m["deprecated"].alias("deprecated"))
+
+    return t.rows.select("class_id", F.inline(F.transform(kind, one)))
 
 
 def method_headers(t: ClassTables) -> DataFrame:

@@ -61,3 +61,21 @@ def test_words_equal_the_library(vocab):
     for _ in range(3000):
         text = "".join(rng.choices(signs, k=rng.randrange(12)))
         assert words.encode(text) == b"".join(i.to_bytes(4, "little") for i in tok.encode(text, add_special_tokens=False).ids), repr(text)
+
+
+def test_step_groups_weigh_the_same(spark, vocab):
+    """Within a shard and window, every group but the last holds exactly step_tokens tokens, and numbers lead on."""
+    rng = __import__("random").Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=rng.randrange(1, 900)))) for i in range(400)], "doc_id long, text string").repartition(2)
+    size = 8192
+    rows = pack(docs, vocab("word_bpe_49k.json"), step_tokens=size).collect()
+    weight, of = defaultdict(int), {}
+    for r in rows:
+        shard = r.sequence_id >> 36
+        weight[shard, r.window, r.step_group] += r.length
+        assert of.setdefault(r.sequence_id, (r.window, r.step_group)) == (r.window, r.step_group) and r.step_group >> 36 == shard
+    for shard, window in {k[:2] for k in weight}:
+        groups = sorted(g for s, w, g in weight if (s, w) == (shard, window))
+        assert groups == list(range(groups[0], groups[0] + len(groups)))
+        assert all(weight[shard, window, g] == size for g in groups[:-1]) and 0 < weight[shard, window, groups[-1]] <= size
+    assert any(len({g for s, w, g in weight if (s, w) == k}) > 3 for k in {k[:2] for k in weight})

@@ -64,3 +64,40 @@ def test_each_stage_equals_brute_force(spark, folder):
 
 def test_run(spark, folder):
     assert P.run(spark, folder).count() > 100 and P.ORACLE_SQL is None and len(P.STAGES) == 5
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, label int, id long, h1 string, node int, __gone int, __id string, __words int, band long, score double, predicted int, word binary"
+
+
+def odd_tables(spark, tmp_path, rows):
+    docs = spark.createDataFrame([(i, t, "en", "s", None, 1, 2, "h", 3, 4, "x", 5, 6, 0.5, 1, b"w") for i, t in rows], CLASHING)
+    spark.createDataFrame([(i, 1, int(i == 4)) for i in range(5)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (None, "short item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return docs
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    docs = odd_tables(spark, tmp_path, [(1, "x")]).limit(0)
+    for name, stage in P.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.count() == 0 and (name == "packing" or got.columns == docs.columns), name
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and columns that operators use themselves."""
+    line = "a line that is in three documents"
+    long = " ".join(f"w{k % 5000}" for k in range(120_000))
+    rows = [(None, None), (None, "alone"), (1, None), (2, ""), (3, line), (3, line), (5, f"{line}\nown words of five"), (6, f"{line}\nown words of six"), (7, long), (7, "again seven"), (8, long)]
+    docs, folder = odd_tables(spark, tmp_path, rows), str(tmp_path)
+    want = {
+        "toxicity": rows,
+        "line_dedup": [(None, ""), (None, "alone"), (1, ""), (2, ""), (3, ""), (3, ""), (5, "own words of five"), (6, f"{line}\nown words of six"), (7, long), (7, "again seven"), (8, long)],
+        "near_dedup": [(None, ""), (None, "alone"), (1, ""), (5, "own words of five"), (6, f"{line}\nown words of six"), (7, long), (7, "again seven")],
+    }
+    for name, stage in P.STAGES[:-1]:
+        docs = P.written(stage(spark, docs, folder), name)
+        got = docs.collect()
+        assert [f"{c} {t}" for c, t in docs.dtypes] == [x.replace(" long", " bigint") for x in CLASHING.split(", ")], name
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want.get(name, want["near_dedup"]), key=str), name
+        assert all((r.label, r.id, r.h1, r["__gone"], r.score) == (1, 2, "h", 4, 0.5) for r in got)
+    assert {r.doc_id for r in P.STAGES[-1][1](spark, docs, folder).collect()} == {None, 1, 5, 6, 7}

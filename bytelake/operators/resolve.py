@@ -166,3 +166,21 @@ def imports(t: ClassTables) -> DataFrame:
     found = found.where(F.expr("name <> own AND NOT startswith(name, '[') AND NOT startswith(name, 'java.lang.') AND contains(name, '.') AND NOT startswith(name, 'class#')"))
     package = N.package_of(F.col("own"))
     return found.where((N.package_of(F.col("name")) != package) & ~F.col("name").contains("$")).select("class_id", "name").distinct()
+
+
+def visible_members(t: ClassTables, kind: str = "methods") -> DataFrame:
+    """members() without those that no source wrote: synthetic ones and, of methods, bridges."""
+    return members(t, kind).where(F.col("access").bitwiseAND(0x1040 if kind == "methods" else 0x1000) == 0)
+
+
+def enums(t: ClassTables) -> DataFrame:
+    """Headers of the enums: classes with the flag whose superclass is java.lang.Enum. Constants with a body are classes of their own, below their enum, and not enums."""
+    return class_headers(t).where((F.col("access").bitwiseAND(0x4000) != 0) & (F.col("super_name") == "java.lang.Enum"))
+
+
+def enum_synthetics(t: ClassTables) -> DataFrame:
+    """(class_id, seq, name, descriptor): the methods that every enum gets from the compiler: values() and valueOf(String)."""
+    own = enums(t).select("class_id", F.concat(F.lit("L"), F.translate("name", ".", "/"), F.lit(";")).alias("own"))
+    rows = method_headers(t).join(own, "class_id")
+    wanted = ((F.col("name") == "values") & (F.col("descriptor") == F.concat(F.lit("()["), "own"))) | ((F.col("name") == "valueOf") & (F.col("descriptor") == F.concat(F.lit("(Ljava/lang/String;)"), "own")))
+    return rows.where(wanted).select("class_id", "seq", "name", "descriptor")

@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytelake.functions import names as N
 from bytelake.operators import cfg, hierarchy, resolve, scopes, sources, trees
 from bytelake.operators.store import written
+from bytelake.recon.source import FIELD_FLAGS, METHOD_FLAGS
 from bytelake.sources import classes as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,6 +167,28 @@ _graph_query("bc_g3_back_edges", lambda t, blocks, edges: cfg.back_edges(blocks,
 _graph_query("bc_g4_loops", lambda t, blocks, edges: cfg.loops(blocks, edges).withColumns({"latches": _list("latches"), "blocks": _list("blocks")}))
 _graph_query("bc_w7_dead_runs", lambda t, blocks, edges: cfg.dead_runs(t, blocks, cfg.reachable_blocks(blocks, edges)))
 QUERIES["bc_g5_ancestors"] = lambda spark, sf_dir: hierarchy.ancestors(hierarchy.classpath(resolve.class_headers(tables(spark))))
+def bc_s10_class_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class files of all archives, as they are read for decoding."""
+    return C.class_bytes(spark, sample_archives(spark)).select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), "path", F.octet_length("content").alias("size"), F.crc32("content").alias("crc"))
+
+
+def _flagged(t: C.ClassTables) -> DataFrame:
+    """Modifier words of fields and methods."""
+    fields = resolve.members(t, "fields").select("class_id", F.lit("field").alias("kind"), "seq", N.flags(F.col("access"), FIELD_FLAGS).alias("words"))
+    return fields.unionByName(resolve.members(t).select("class_id", F.lit("method").alias("kind"), "seq", N.flags(F.col("access"), METHOD_FLAGS).alias("words")))
+
+
+QUERIES["bc_s10_class_bytes"] = bc_s10_class_bytes
+QUERIES["bc_s13_classpath"] = lambda spark, sf_dir: hierarchy.classpath(resolve.class_headers(tables(spark)), resolve.class_headers(tables(spark)).where("name LIKE 'org.%'")).select("name", "path")
+_query("bc_p4_names", lambda t: resolve.class_headers(t).select("class_id", "name", N.package_of(F.col("name")).alias("package"), N.short_name(F.col("name")).alias("short"), N.short_annotation_name(F.col("name")).alias("last")))
+_query("bc_p5_flags", _flagged)
+_query("bc_f1_visible_methods", lambda t: resolve.visible_members(t).select("class_id", "seq", "name", "descriptor"))
+_query("bc_f1_visible_fields", lambda t: resolve.visible_members(t, "fields").select("class_id", "seq", "name", "descriptor"))
+_query("bc_f2_enums", lambda t: resolve.enums(t).select("class_id", "name"))
+_query("bc_f5_enum_synthetics", resolve.enum_synthetics)
+_query("bc_x2_short_types", lambda t: resolve.members(t, "fields").select("class_id", "seq", N.short_type(N.field_type(F.col("descriptor"))).alias("type")))
+_query("bc_x3_descriptors", lambda t: resolve.members(t).select("class_id", "seq", N.is_method_descriptor(F.col("descriptor")).alias("ok"), N.return_type(F.col("descriptor")).alias("type"), F.array_join(N.parameter_types(F.col("descriptor")), ",").alias("parameters")))
+_query("bc_x9_readable_names", lambda t: scopes.local_variables(t).select("class_id", "method", "slot", "start_pc", N.readable_name(F.col("name")).alias("name")))
 QUERIES["bc_a10_unique_paths"] = lambda spark, sf_dir: sources.unique_paths(sources.sources(tables(spark))).select("path", "class_name")
 # SQL can express none of the following; the tests hold them against the compiler and against debug tables
 QUERIES["bc_t5_sources"] = lambda spark, sf_dir: sources.sources_with_overrides(tables(spark)).drop("class_id", "archive")

@@ -67,9 +67,31 @@ dom AS (
   WHERE NOT EXISTS (FROM without_d w WHERE w.path = n.path AND w.method = n.method AND w.d = d.node AND w.node = n.node))"""
 )
 
+#: Modifier words in the order in which source has them, by bit.
+_FIELD = {1: "public", 4: "protected", 2: "private", 8: "static", 16: "final", 128: "transient", 64: "volatile"}
+_METHOD = {1: "public", 4: "protected", 2: "private", 1024: "abstract", 8: "static", 16: "final", 32: "synchronized", 256: "native", 2048: "strictfp"}
+
+
+def _words(names: dict[int, str]) -> str:
+    return " || ".join(f"CASE WHEN access & {bit} <> 0 THEN '{word} ' ELSE '' END" for bit, word in names.items())
+
+
 SQL = {
     "bc_s4_entries": "SELECT archive, path, 'ok' AS status, crc32, packed_size, size, true AS crc_ok FROM {entry}",
     "bc_s11_lookup": "SELECT path, 'ok' AS status, size, crc32 AS crc FROM {entry} WHERE path = 'com/google/gson/Gson.class'",
+    "bc_s10_class_bytes": "SELECT archive, path, size, crc32 AS crc FROM {entry} WHERE path LIKE '%.class' AND path NOT LIKE '%-info.class'",
+    "bc_s13_classpath": "SELECT name, path FROM {class}",
+    "bc_p4_names": "SELECT path, name, CASE WHEN contains(name, '.') THEN regexp_replace(name, '[.][^.]*$', '') ELSE '' END AS package, regexp_replace(name, '^.*[.]', '') AS short, regexp_extract(name, '[^.$]*$') AS last FROM {class}",
+    "bc_p5_flags": f"SELECT path, kind, seq, trim(CASE kind WHEN 'field' THEN {_words(_FIELD)} ELSE {_words(_METHOD)} END) AS words FROM {{member}}",
+    "bc_f1_visible_methods": "SELECT path, seq, name, descriptor FROM {member} WHERE kind = 'method' AND access & 64 = 0 AND access & 4096 = 0",
+    "bc_f1_visible_fields": "SELECT path, seq, name, descriptor FROM {member} WHERE kind = 'field' AND access & 4096 = 0",
+    "bc_f2_enums": "SELECT path, name FROM {class} WHERE access & 16384 <> 0 AND super_name = 'java.lang.Enum'",
+    "bc_f5_enum_synthetics": "SELECT m.path, m.seq, m.name, m.descriptor FROM {member} m JOIN {class} c ON c.path = m.path JOIN {descriptor} d ON d.descriptor = m.descriptor WHERE c.super_name = 'java.lang.Enum' AND c.access & 16384 <> 0 AND ((m.name = 'values' AND d.parameters = '' AND d.type = c.name || '[]') OR (m.name = 'valueOf' AND d.parameters = 'java.lang.String' AND d.type = c.name))",
+    "bc_x2_short_types": "SELECT path, seq, regexp_replace(d.type, '[A-Za-z0-9_$.]*[.]', '', 'g') AS type FROM {member} m JOIN {descriptor} d USING (descriptor) WHERE kind = 'field'",
+    "bc_x3_descriptors": "SELECT path, seq, true AS ok, d.type, d.parameters FROM {member} m JOIN {descriptor} d USING (descriptor) WHERE kind = 'method'",
+    "bc_x9_readable_names": """
+      SELECT path, method, slot, start_pc, CASE WHEN octet_length(encode(name)) = 1 THEN 'var_' || name WHEN regexp_full_match(name, '[a-z]{0,2}') THEN 'local_' || name
+        WHEN NOT regexp_matches(name, '[A-Za-z]') THEN 'field_' || name ELSE name END AS name FROM {scope} WHERE NOT generic""",
     "bc_s15_classes": "SELECT path, 'ok' AS status, n_bytes, minor, major, access, this_idx, super_idx, deprecated FROM {class}",
     "bc_s16_cp": "SELECT path, idx, kind, text AS utf8, integer, real, ref1, ref2, handle FROM {pool}",
     "bc_s16_diagnostics": "SELECT path, 0 AS seq, '' AS severity, 0 AS offset, '' AS message FROM {class} WHERE n_bytes = 0",

@@ -34,10 +34,10 @@ def whole_tokens(tokenizer) -> set[str]:
 class Counter(dict):
     """Pre-token -> number of tokens. max_kept bounds the cache of merged pre-tokens, which is emptied when full, but for the whole tokens.
 
-    Pre-tokens in whole_tokens() are one token; the others are merged by the tokenizer's model.
+    Pre-tokens in whole (by default, those of whole_tokens()) are one token; the others are merged by the tokenizer's model.
     """
 
-    def __init__(self, path: str, max_kept: int = 250_000):
+    def __init__(self, path: str, max_kept: int = 250_000, whole=None):
         import regex
         from tokenizers import Tokenizer
 
@@ -46,7 +46,7 @@ class Counter(dict):
         self.find = regex.compile(PATTERN).findall
         self.foreign = re.compile("[" + FOREIGN + "]").search
         self.merge = self.tokenizer.model.tokenize
-        self.whole = whole_tokens(self.tokenizer)
+        self.whole = whole_tokens(self.tokenizer) if whole is None else whole
         super().__init__(dict.fromkeys(self.whole, 1))
 
     def __missing__(self, token: str) -> int:
@@ -66,9 +66,21 @@ class Counter(dict):
 
 
 @functools.lru_cache(2)
-def counter(path: str) -> Counter:
+def proven(path: str) -> tuple[str, ...]:
+    """The whole tokens of a tokenizer's file, proven once by the driver: at most its vocabulary."""
+    from tokenizers import Tokenizer
+
+    return tuple(sorted(whole_tokens(Tokenizer.from_file(path))))
+
+
+_COUNTERS: dict[str, Counter] = {}
+
+
+def counter(path: str, whole: tuple[str, ...]) -> Counter:
     """One for each Python process."""
-    return Counter(path)
+    if path not in _COUNTERS:
+        _COUNTERS[path] = Counter(path, whole=whole)
+    return _COUNTERS[path]
 
 
 #: Ranges of code points that the regex module and the tokenizer's engine class differently (fixed values, found by trying every code point).
@@ -89,11 +101,12 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """Per row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), of whole texts.
 
     Counts are those of the tokenizers library without added special tokens. Null texts are empty (0 bytes, 0 tokens), null ids stay null,
-    repeated rows are counted each, other columns are ignored, an empty table gives no rows. One pass without a shuffle.
+    repeated rows are counted each, other columns are ignored, an empty table gives no rows. One pass without a shuffle. Which strings of the vocabulary are one token is proven before, by the driver, and sent along.
     """
+    whole = docs.sparkSession.sparkContext.broadcast(proven(tokenizer))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer).count
+        count = counter(tokenizer, whole.value).count
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 rows = batch.slice(k, 512)

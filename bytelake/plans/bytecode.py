@@ -23,20 +23,29 @@ _SCANS: dict[tuple[str, str], C.ClassTables] = {}
 _GRAPHS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
-def jars_folder(spark: SparkSession | None = None) -> str:
-    """The folder of Spark's own jars: that from which the session's JVM runs, else that of the installation. PySpark itself may be imported from a zip, beside which there are none."""
-    found = []
+def _jar_folders(spark: SparkSession | None):
+    """Where Spark's own jars may lie, the likeliest first: where the session's JVM runs from, where SPARK_HOME points, beside PySpark (which may be imported from a zip, beside which there are none)."""
     if spark is not None:
         source = spark._jvm.java.lang.Class.forName("org.apache.spark.SparkContext").getProtectionDomain().getCodeSource()
         if source is not None:
-            found.append(os.path.dirname(source.getLocation().getPath()))
-    from pyspark.find_spark_home import _find_spark_home
+            yield os.path.dirname(source.getLocation().getPath())
+    if home := os.environ.get("SPARK_HOME"):
+        yield os.path.join(home, "jars")
+    import pyspark
+
+    at = os.path.dirname(os.path.abspath(pyspark.__file__))
+    yield os.path.join(at, "jars")
+    yield os.path.join(os.path.abspath(os.path.join(at, *[os.pardir] * 4)), "jars")  # beside python/lib/pyspark.zip/pyspark
 
-    found += [os.path.join(home, "jars") for home in (os.environ.get("SPARK_HOME"), _find_spark_home()) if home]
-    for folder in found:
+
+def jars_folder(spark: SparkSession | None = None) -> str:
+    """The folder of Spark's own jars, or FileNotFoundError where none of the likely ones holds the archives."""
+    tried = []
+    for folder in _jar_folders(spark):
         if all(os.path.exists(os.path.join(folder, name)) for name in ARCHIVES):
             return folder
-    raise FileNotFoundError(f"none of {found} holds {' and '.join(ARCHIVES)}")
+        tried.append(folder)
+    raise FileNotFoundError(f"none of {tried} holds {' and '.join(ARCHIVES)}")
 
 
 def sample_archive(spark: SparkSession | None = None) -> str:

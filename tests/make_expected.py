@@ -260,10 +260,9 @@ ROWS: dict[str, list[dict]] = defaultdict(list)
 
 
 def main(out: str) -> None:
-    sys.path.insert(0, HERE)
-    import pyspark.find_spark_home as home
+    import pyspark
 
-    jars = os.path.join(home._find_spark_home(), "jars")
+    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
     for name in ("gson-2.11.0.jar", "commons-cli-1.10.0.jar"):
         of_archive(os.path.join(jars, name), ROWS)
     texts = {m["descriptor"] for m in ROWS["member"]} | {p["text"] for p in ROWS["pool"] if p["kind"] == "Utf8" and re.fullmatch(r"\((\[*([BCDFIJSZ]|L[^;()<>]+;))*\)\[*([BCDFIJSZV]|L[^;()<>]+;)|\[*([BCDFIJSZ]|L[^;()<>]+;)", p["text"])}

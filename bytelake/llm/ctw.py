@@ -20,6 +20,10 @@ END = b"\n"
 #: Words that are scored together.
 CHUNK_WORDS = 200_000
 _START, _END = START[0], END[0]
+#: Between the words of a whole text; in no word. It is not START, so contexts go on across it.
+GAP = b"\t"
+#: Bytes of texts whose grams are sorted at once.
+PIECE = 4_000_000
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -149,6 +153,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 BLOCKS = "block long, id long, held_out boolean, text binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
@@ -293,7 +298,7 @@ def word_logs(totals: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12_000_000, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte. Each word is scored by itself; score_texts() weighs whole texts.
 
     Documents whose crc32 of the id as text is 0 modulo 10 are held out; all others are learned from. A document is its words (A-Z lower-cased, parted by ASCII white space) and
     one end, which is a token and a byte of its own. base_score is the smoothed unigram log10 probability of the tokens. score is the log10 probability that the tree gives to the bytes of the tokens: of each word, its bytes and
@@ -333,5 +338,184 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
             }
         )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(one, schema)
+    return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(one, SCORES)
+
+
+def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Whole texts in slices of some PIECE bytes and at most 2^16 pieces: the numbers of the pieces' texts, and the pieces. Each stands behind the DEPTH bytes before it, at a text's start behind ENDs."""
+    of, pieces, size = [], [], 0
+    for k, text in enumerate(texts):
+        x = END * DEPTH + text.replace(b" ", GAP)
+        for at in range(0, len(text), PIECE):
+            of.append(k)
+            pieces.append(x[at : at + PIECE + DEPTH])
+            size += len(pieces[-1])
+            if size >= PIECE or len(pieces) == 1 << 16:
+                yield np.array(of), pieces
+                of, pieces, size = [], [], 0
+    if pieces:
+        yield np.array(of), pieces
+
+
+def text_grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct grams of pieces, in order: each byte with the DEPTH bytes before it, whatever words these belong to, as one number like that of grams(). With them the place at which
+    the run of each begins among all grams in this order, and the pieces of all."""
+    x = np.frombuffer(b"".join(pieces), np.uint8)
+    key = np.zeros(len(x) - DEPTH, np.uint64)
+    for k in range(DEPTH + 1):
+        key <<= np.uint64(8)
+        np.bitwise_or(key, x[k : len(x) - DEPTH + k], out=key)
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    inside = np.ones(len(x), bool)
+    for k in range(DEPTH):
+        inside[starts + k] = False
+    both = key[inside[DEPTH:]] << np.uint64(16)
+    both |= np.repeat(np.arange(len(pieces), dtype=np.uint64), lengths - DEPTH)
+    both.sort()
+    keys = (both >> np.uint64(16)).view(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], first, (both & np.uint64(0xFFFF)).view(np.int64)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers of 8 bytes, their first bytes first, by zstd."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
+
+
+def _unpack(packed: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=0))
+
+
+def _unpack_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed, np.int64))
+
+
+def _block_grams(blocks: DataFrame) -> DataFrame:
+    """(part, block, keys, n): the distinct grams of a block's texts and their counts in its training documents, packed. Subtrees of contexts that share their last two bytes are dealt to 256 parts."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        now, texts, train, unpack = None, [], [], zstandard.ZstdDecompressor().decompress
+
+        def out() -> pa.RecordBatch:
+            found = []
+            for of, pieces in _pieces(texts):
+                keys, first, piece = text_grams(pieces)
+                found.append((keys, np.add.reduceat(np.array(train, np.int64)[of][piece], first)))
+            keys, n = _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            to = ((keys >> 8 & 0xFFFF) * 40503 & 0xFFFF) >> 8
+            at = [np.flatnonzero(to == k) for k in np.unique(to)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([int(to[k[0]]) for k in at], pa.int32()), pa.array([now] * len(at), pa.int64()), pa.array([_pack_keys(keys[k]) for k in at], pa.binary()), pa.array([_pack(n[k]) for k in at], pa.binary())], names=["part", "block", "keys", "n"]
+            )
+
+        for batch in batches:
+            for block, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if block != now:
+                    if texts:
+                        yield out()
+                    now, texts, train = block, [], []
+                texts.append(unpack(text.as_py()))
+                train.append(not held)
+        if texts:
+            yield out()
+
+    return blocks.select("block", "held_out", "text").mapInArrow(part, "part int, block long, keys binary, n binary")
+
+
+def _part_grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All grams of a part in order, their counts in training, and the places of each subtree's."""
+    parts, waiting = [], 0
+    for keys, n in zip(table.column("keys"), table.column("n"), strict=True):
+        parts.append((_unpack_keys(keys.as_py()), _unpack(n.as_py(), np.int64)))
+        waiting += len(parts[-1][0])
+        if waiting > 2_000_000:
+            parts, waiting = [_summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))], 0
+    keys, n = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    two = keys >> 8 & 0xFFFF
+    order = np.argsort(two, kind="stable")
+    return keys, n, np.split(order, np.flatnonzero(np.diff(two[order])) + 1)
+
+
+def block_logs(found: DataFrame) -> DataFrame:
+    """(block, keys, logs): of each gram of a block, the log10 probability of its byte by the tree that training makes, packed. found: of _block_grams, written.
+
+    The counts of a part's grams are summed over the blocks and its subtrees weighed one by one. Their roots meet in the driver (at most 2^16 times 255 rows), where the two shortest lengths are weighed,
+    and then each subtree gives the probability of every gram in it. No context is left out, however rare.
+    """
+
+    def roots(table: pa.Table) -> pa.Table:
+        keys, n, subtrees = _part_grams(table)
+        two = [_subtree(keys[at], n[at])[0] for at in subtrees]
+        return pa.table({c: pa.array(np.concatenate([getattr(t, c) for t in two])) for c in ("keys", "n0", "n1", "log_w")}).rename_columns(["key", "n0", "n1", "log_w"])
+
+    got = found.groupBy("part").applyInArrow(roots, "key long, n0 double, n1 double, log_w double").toArrow().sort_by("key")
+    top = found.sparkSession.sparkContext.broadcast(Top(*(got.column(c).to_numpy() for c in ("key", "n0", "n1", "log_w"))))
+
+    def logs(table: pa.Table) -> pa.Table:
+        keys, n, subtrees = _part_grams(table)
+        log = np.empty(len(keys))
+        for at in subtrees:
+            log[at] = gram_logs(keys[at], n[at], top.value)
+        packed = [_pack(log[np.searchsorted(keys, _unpack_keys(k.as_py()))]) for k in table.column("keys")]
+        return pa.table({"block": table.column("block"), "keys": table.column("keys"), "logs": pa.array(packed, pa.binary())})
+
+    return found.groupBy("part").applyInArrow(logs, "block long, keys binary, logs binary")
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 24_000_000) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
+
+    Like score(), but the tree weighs whole texts: the bytes of the words with one gap between and the end. A byte's contexts are the up to DEPTH bytes before it in the text, across words; before a text
+    stand ENDs. score is the log10 probability that the tree gives to all bytes of the text, so it depends on the order of the words.
+
+    Texts are kept in blocks. Distinct words and grams of a block are counted, their counts and probabilities come back once per block.
+    """
+    blocks = written(_blocks(docs, id_col, text_col, block_bytes), "blocks")
+    entries = written(_entries(blocks), "entries")
+    totals = written(entries.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    n_train, distinct = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    logs = block_logs(written(_block_grams(blocks), "grams"))
+    words = entries.select("block", "word").join(totals, "word").select("block", "word", "c", F.lit(None).cast("binary").alias("logs"))
+    shared = words.unionAll(logs.select("block", "keys", F.lit(None).cast("long"), "logs"))
+
+    def one(rows: pa.Table, found: pa.Table) -> pa.Table:
+        import zstandard
+
+        local, unpack = _Local(), zstandard.ZstdDecompressor().decompress
+        words, grams_of = found.filter(found.column("logs").is_null()), found.filter(found.column("logs").is_valid())
+        at = np.fromiter(map(local.__getitem__, words.column("word").to_pylist()), np.int64, words.num_rows)
+        of = np.zeros(len(local))
+        of[at] = words.column("c").to_numpy()
+        base, known = np.log10((of + 0.1) / (n_train + 0.1 * (distinct + 1))), of > 0
+        texts, out = [unpack(raw.as_py()) for raw in rows.column("text")], []
+        for text in texts:
+            k = local.of(text)
+            out.append((len(k), int(known[k].sum()), float(base[k].sum()), len(text)))
+        n_tokens, n_known, base_score, n_bytes = (np.array(c) for c in zip(*out, strict=True)) if out else (np.zeros(0),) * 4
+        keys = np.concatenate([np.zeros(0, np.int64), *(_unpack_keys(k.as_py()) for k in grams_of.column("word"))])
+        order = np.argsort(keys)
+        keys, log = keys[order], np.concatenate([np.zeros(0), *(_unpack(x.as_py(), np.float64) for x in grams_of.column("logs"))])[order]
+        got = np.zeros(len(texts))
+        for numbers, pieces in _pieces(texts):
+            distinct_keys, first, piece = text_grams(pieces)
+            each = np.repeat(log[np.searchsorted(keys, distinct_keys)], np.diff(first, append=len(piece)))
+            np.add.at(got, numbers, np.bincount(piece, each, len(pieces)))
+        return pa.table(
+            {
+                "doc_id": rows.column("id"), "held_out": rows.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
+                "train_tokens": pa.array(np.full(len(out), n_train, np.int64)), "base_score": pa.array(base_score), "score": pa.array(got), "n_bytes": pa.array(n_bytes, pa.int64()), "bits_per_byte": pa.array(-got / np.log10(2) / n_bytes),
+            }
+        )
+
+    return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(one, SCORES)

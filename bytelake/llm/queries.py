@@ -47,9 +47,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from bytelake.llm.ctw import score
+    from bytelake.llm.ctw import score_texts
 
-    return score(load(spark, sf_dir, "documents"))
+    return score_texts(load(spark, sf_dir, "documents"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

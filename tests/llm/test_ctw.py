@@ -118,3 +118,51 @@ def test_words_of_training_cost_fewer_bits(spark):
     rows += [(held[0], " ".join(rng.choices(vocabulary, k=40))), (held[1], " ".join(word() for _ in range(40)))]
     got = {r.doc_id: r.bits_per_byte for r in C.score(docs_of(spark, rows)).collect()}
     assert got[held[0]] < 2 and got[held[1]] > 4
+
+
+class SlowTexts(Slow):
+    """Of whole texts: contexts go on across words, and before a text stand ENDs."""
+
+    def steps(self, word):
+        x = C.END * C.DEPTH + word
+        return [(x[:k], x[k]) for k in range(C.DEPTH, len(x))]
+
+
+def of_text(text):
+    return C.GAP.join(C.tokens(text)) + C.END
+
+
+def test_query_weighs_contexts_across_words(spark, tmp_path):
+    """Scores of whole texts by recursion; the same words in another order score otherwise."""
+    from bytelake.llm.queries import op6_ctw
+
+    learned, held = ([i for i in range(100) if bool(zlib.crc32(str(i).encode()) % 10) == x] for x in (True, False))
+    rows = [*zip(learned, ["ab cd ab cd", "Ab \t cd", "é ef\nab", None, "", "cd ef gh ab cd"]), (None, "new ab"), *zip(held, ["ab cd", "cd ab", "xyz é", None])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op6_ctw(spark, str(tmp_path)).collect()}
+    slow = SlowTexts(Counter(of_text(t) for i, t in rows if not got[i].held_out))
+    assert len(got) == len(rows) and sum(r.held_out for r in got.values()) >= 4
+    for i, t in rows:
+        assert math.isclose(got[i].score, slow.log10(of_text(t)), rel_tol=1e-9), (i, t)
+    assert abs(got[held[0]].score - got[held[1]].score) > 0.1
+
+
+def test_texts_in_blocks_and_pieces(spark, monkeypatch):
+    """However texts are cut into blocks and pieces, also long ones, each gets the same score."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "é", "gamma."], k=rng.randrange(40)))) for i in range(90)] + [(200, None), (201, "long " * 5000), (201, "long " * 5000)]
+    docs = docs_of(spark, rows)
+    whole = sorted(map(tuple, C.score_texts(docs).collect()), key=str)
+    for a, b in zip(whole, sorted(map(tuple, C.score_texts(docs, block_bytes=300).collect()), key=str), strict=True):
+        assert a[:5] == b[:5] and all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(a[5:], b[5:], strict=True)), (a, b)
+    texts = [of_text(t) for _, t in rows]
+    want = Counter(x for t in texts for x in zip((C.END * C.DEPTH + t)[C.DEPTH :], (C.END * C.DEPTH + t)[C.DEPTH - 1 :]))
+    monkeypatch.setattr(C, "PIECE", 100)
+    pairs, ends = Counter(), Counter()
+    for of, pieces in C._pieces(texts):
+        keys, first, piece = C.text_grams(pieces)
+        for k, n in zip(keys.tolist(), np.diff(first, append=len(piece)).tolist(), strict=True):
+            pairs[k & 255, k >> 8 & 255] += n
+        ends.update(of[piece].tolist())
+    assert pairs == want and [ends[k] for k in range(len(texts))] == [len(t) for t in texts]
+    assert C.score_texts(docs.limit(0)).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -78,8 +79,9 @@ class Crf:
 
     def fit(self, texts: list[list[str]], tags: list[np.ndarray], epochs: int = 4, rate: float = 0.5, batch: int = 64, decay: float = 1e-5) -> Crf:
         """Adaptive gradient ascent on the log likelihood of the tags."""
-        index: dict[str, list[int]] = {}
-        ids = [np.array([index.setdefault(w, features(w)) for w in t], np.int64).reshape(-1, 5) for t in texts]
+        index: dict[str, int] = {}
+        ids = [np.array([index.setdefault(w, len(index)) for w in t], np.int32) for t in texts]
+        bins = np.array([features(w) for w in index], np.int64).reshape(-1, 5)
         order = sorted((k for k in range(len(ids)) if len(ids[k])), key=lambda k: -len(ids[k]))
         batches = [order[k : k + batch] for k in range(0, len(order), batch)]
         square, square_moves, square_start = np.full(BINS, 1e-8), np.full((2, 2), 1e-8), 1e-8
@@ -91,7 +93,7 @@ class Crf:
                 flat, y = np.empty((packed.starts[-1], 5), np.int64), np.empty(packed.starts[-1])
                 for rank, d in enumerate(packed.order):
                     at = packed.places(rank)
-                    flat[at], y[at] = ids[part[d]], tags[part[d]]
+                    flat[at], y[at] = bins[ids[part[d]]], tags[part[d]]
                 emission = self.weights[flat].sum(axis=1)
                 forward, backward, p = marginals(emission, packed, self.start, self.moves)
                 grad = np.bincount(flat.ravel(), np.repeat(y - p, 5), BINS)
@@ -184,14 +186,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Document labels say which texts are toxic, not where. A token is tagged toxic in a toxic text if its share of toxic texts is over twenty times
     that of clean ones and at least one in two hundred toxic texts (or three) has it. A conflict of labels counts as toxic; null labels and ids are left out.
-    Without documents of both labels, every score is the smoothed share of toxic ones.
+    Without documents of both labels, every score is the smoothed share of toxic ones. The field is fitted in a task; the driver gets its weights only.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__lid")).agg(F.max(label_col).alias("__y"))
     eligible = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).where(F.length("__text") <= max_chars)
     held = eligible.select("__id").join(known, F.col("__id") == F.col("__lid")).select("__lid", "__y").distinct()
     chosen = [held.where(F.col("__y") == y).orderBy(F.xxhash64("__lid"), "__lid").limit(max_docs) for y in (0, 1)]
-    rows = eligible.join(F.broadcast(chosen[0].union(chosen[1])), F.col("__id") == F.col("__lid")).select("__text", "__y").distinct().toArrow()
-    return fit(rows.column(0).to_pylist(), rows.column(1).to_numpy().astype(np.int64))
+    rows = eligible.join(F.broadcast(chosen[0].union(chosen[1])), F.col("__id") == F.col("__lid")).select("__text", "__y").distinct()
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            y += batch.column(1).to_pylist()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.array(y, np.int64)))], pa.binary())], names=["model"])
+
+    model = rows.repartition(1).mapInArrow(fitted, "model binary").collect()
+    return pickle.loads(bytes(model[0].model)) if model else fit([], np.zeros(0, np.int64))
 
 
 def fit(texts: list[str], y: np.ndarray) -> Crf:
@@ -202,7 +214,8 @@ def fit(texts: list[str], y: np.ndarray) -> Crf:
         share = (n1 + 1) / (n1 + n0 + 2)
         model.calibration = np.array([np.log(share / (1 - share)), 0.0, 0.0])
         return model
-    words = [_WORD.findall(lowered(t)) for t in texts]
+    once: dict[str, str] = {}  # equal words are one object
+    words = [[once.setdefault(w, w) for w in _WORD.findall(lowered(t))] for t in texts]
     held = [Counter(w for k, t in enumerate(words) if y[k] == label for w in set(t)) for label in (0, 1)]
     toxic = {w for w, n in held[1].items() if n >= max(3, n1 / 200) and (n + 0.5) / (n1 + 1) > 20 * (held[0][w] + 0.5) / (n0 + 1)}
     tags = [np.array([label and w in toxic for w in t], float) for t, label in zip(words, y, strict=True)]

@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -103,3 +104,21 @@ def test_labels_of_absent_documents_play_no_part(spark):
     labels = docs.select("doc_id", "toxic")
     one, two = T.train(docs, labels), T.train(docs, labels.union(absent))
     assert np.array_equal(one.weights, two.weights) and np.array_equal(one.calibration, two.calibration) and one.weights.any()
+
+
+def test_the_driver_gets_no_texts(spark, monkeypatch):
+    """The field is fitted in a task, not in the process of the driver, whose memory must not hold the texts; weights are those of a fit by hand."""
+    driver, fit = os.getpid(), T.fit
+
+    def elsewhere(texts, y):
+        assert os.getpid() != driver
+        return fit(texts, y)
+
+    rows = [(i, ("vile " if i % 3 == 0 else "") + f"some words {i % 7}", int(i % 3 == 0)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    monkeypatch.setattr(T, "fit", elsewhere)
+    got = T.train(docs, docs.select("doc_id", "toxic"))
+    distinct = sorted({r[1:] for r in rows})
+    want = fit([t for t, _ in distinct], np.array([y for _, y in distinct]))
+    assert (got.weights == want.weights).all() and (got.moves == want.moves).all() and got.start == want.start and (got.calibration == want.calibration).all()
+    assert want.weights.any()
